@@ -1,6 +1,375 @@
-"""Queries of the audit engine and the SQL that says what they compute."""
+"""Queries of the audit engine and the SQL that says what they compute.
+
+Two sources of elements come from the pages table: E, the links in each page's
+html; and S, each page's URL as a link found on a start page of the most
+frequent host (ties by name), whose scheme is https.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import urls
+from .functions.text import cut_off_column, truncated_markup
+from .operators import closure as closures
+from .operators import extract, index, labels, robots, selectors, sets, suggest
+from .plans.language import run_query
+from .plans.options import AuditOptions, SiteContext
+from .sources import tables
+
+BANNED = ("spam-farm", "cheap-pills")
+OPTIONS = AuditOptions(banned_strings=BANNED)
+
+
+def site_of(pages: DataFrame) -> SiteContext:
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    top = pages.groupBy(host.alias("host")).count().orderBy(F.desc("count"), "host").first()
+    return SiteContext.of(f"https://{top['host'] if top else 'localhost'}/")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pages(spark, sf_dir)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E, located."""
+    return extract.located(extract.elements(_pages(spark, sf_dir), ("link",)))
+
+
+def _as_links(pages: DataFrame, site: SiteContext) -> DataFrame:
+    """S, located: node_pos is 0 and page_id tells records apart."""
+    row = pages.select(
+        "page_id", F.lit(site.start_page).alias("document"), F.lit("link").alias("kind"), F.lit(0).alias("node_pos"),
+        F.concat(F.lit('<a href="'), "url", F.lit('">')).alias("markup"), F.col("url").alias("href"), *[F.lit(None).cast("string").alias(a) for a in extract.ATTRIBUTES[1:]],
+    )
+    return extract.located(row)
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    site = site_of(pages)
+    return labels.classify(_as_links(pages, site), site, OPTIONS)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = _flagged(spark, sf_dir)
+    return labels.records(flagged, labels.roll_up(flagged))
+
+
+def _flag(*names: str):
+    return [labels.flag(n).alias(_column(n)) for n in names]
+
+
+def _column(label: str) -> str:
+    return f"is_{label.replace('-', '_').lower()}"
+
+
+def _labels(*names: str):
+    return lambda spark, sf_dir: _flagged(spark, sf_dir).select("page_id", "url_attr", *_flag(*names))
+
+
+def _query(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_query(_records(spark, sf_dir), text, labels.PLACES, labels.flag).select("page_id", "url_attr")
+
+    return run
+
+
+def _set(a: str, b: str, how: str):
+    return lambda spark, sf_dir: sets.combine(_records(spark, sf_dir), a, b, how).select("page_id")
+
+
+def _values(spark: SparkSession, ddl: str, rows: list[tuple]) -> DataFrame:
+    """A few rows as a SQL VALUES table."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+    kinds = [c.split()[1] for c in ddl.split(", ")]
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    body = ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+    return table.select(*[F.col(n).cast(k) for n, k in zip(names, kinds)])
+
+
+def _sql_values(rows: list[tuple]) -> str:
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
+
+
+def _elements(spark: SparkSession, kind: str, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """Crafted elements of one kind on https://site.test/ with some attributes."""
+    given = _values(spark, "node_pos int, " + ", ".join(f"{n} string" for n in names), rows)
+    return extract.located(
+        given.select(
+            F.lit(0).cast("bigint").alias("page_id"), F.lit("https://site.test/").alias("document"), F.lit(kind).alias("kind"), "node_pos", F.lit(f"<{extract.TAGS[kind]}>").alias("markup"),
+            *[(F.col(a) if a in names else F.lit(None).cast("string")).alias(a) for a in extract.ATTRIBUTES],
+        )
+    )
+
+
+TEST_SITE = SiteContext.of("https://site.test/")
+LINK_ROWS = [(0, "mailto:a@b.test"), (1, "tel:123"), (2, "file:///etc/x"), (3, "javascript:void(0)"), (4, "data:text/plain,x"), (5, "irc://chat.test/a"), (6, None), (7, "http://site.test/p"), (8, "https://site.test/q#x"), (9, "http://other.test/")]
+IMAGE_ROWS = [(0, "https://site.test/a.png", "a", "10", "20"), (1, "https://site.test/a.png", "", "10", "21"), (2, "https://site.test/b.png", None, None, None), (3, None, None, None, None), (4, "http://cdn.test/c.png", "c", "x", None), (5, "/a.png", "d", "", None)]
+IMAGE_FACTS = [("https://site.test/a.png", True, 10, 20), ("https://site.test/b.png", False, None, None), ("http://cdn.test/c.png", True, 5, 5)]
+FRAME_ROWS = [(0, "https://site.test/f", "t"), (1, "https://site.test/f", ""), (2, "http://other.test/f", None), (3, None, "x"), (4, "data:text/html,x", "y")]
+ROBOTS_TEXT = "# rules\nDisallow: /early\n\nUser-agent: bot\nDisallow: /bot\nSitemap: https://site.test/map.xml\nUser-agent: a\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nbroken line\nDisallow:\n"
+PATTERNS = ["/", "/*", "a", "$", "", "/about/", "/*.php$", "/a*$", "/x*y", "/private"]
+PATHS = ["/x/about/y", "/d/l.php", "/my.php.data/s.txt", "/a.php/b.php", "/a", "/b/a", "", "/private/open/1", "/x1y2"]
+FUZZY_CANDIDATES = list(labels.GROUP_LABELS + labels.ELEMENT_LABELS)
+
+
+def _extract_links(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "node_pos", "url_attr")
+
+
+def _resolve_urls(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "node_pos", "url_prop")
+
+
+def _url_tokens(spark, sf_dir):
+    t = urls.tokens(F.col("url"))
+    return _pages(spark, sf_dir).select("page_id", *[t[c].alias(c) for c in ("scheme", "authority", "path", "query", "fragment")])
+
+
+def _url_parts(spark, sf_dir):
+    p = urls.parts(F.col("url"))
+    return _pages(spark, sf_dir).select("page_id", p.scheme.alias("scheme"), p.host.alias("host"), p.origin.alias("origin"), p.path.alias("path"), p.search.alias("search"), p.hash.alias("hash"), urls.without_fragment(F.col("url")).alias("bare"))
+
+
+def _url_extension(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.extension(F.col("url")).alias("ext"), urls.is_file(F.col("url")).alias("is_file"))
+
+
+def _group_rollup(spark, sf_dir):
+    found = _links(spark, sf_dir)
+    flagged = labels.classify(found, site_of(_pages(spark, sf_dir)), OPTIONS)
+    return labels.roll_up(flagged).select("group_name", "n_records", *_flag("internal", "external", "http-httpsError"))
+
+
+def _label_counts(spark, sf_dir):
+    return suggest.label_counts(_records(spark, sf_dir)).where(F.col("label").isin("link", "internal", "external", "anchor", "http-httpsError", "absoluteInternal", "bannedString", "email"))
+
+
+def _scheme_labels(spark, sf_dir):
+    flagged = labels.classify(_elements(spark, "link", LINK_ROWS, ("href",)), TEST_SITE, AuditOptions())
+    return flagged.select("node_pos", "group_name", *_flag("internal", "external", "null", "email", "localFile", "javascriptLink", "http-httpsError", "unusualScheme", "anchor"))
+
+
+def _image_labels(spark, sf_dir):
+    facts = tables.images(_values(spark, tables.IMAGES, IMAGE_FACTS))
+    flagged = labels.classify(_elements(spark, "image", IMAGE_ROWS, ("src", "alt", "width", "height")), TEST_SITE, AuditOptions(), facts)
+    return flagged.select("node_pos", *_flag("internal", "external", "null", "noAltText", "improperSize", "visited", "unloaded", "http-httpsError", "absoluteInternal"))
+
+
+def _iframe_labels(spark, sf_dir):
+    flagged = labels.classify(_elements(spark, "iframe", FRAME_ROWS, ("src", "title")), TEST_SITE, AuditOptions())
+    return flagged.select("node_pos", *_flag("internal", "external", "null", "emptyTitle", "http-httpsError", "absoluteInternal"))
+
+
+def _fetches(spark, sf_dir):
+    """Outcomes made from page ids, the same way in Spark and in SQL."""
+    k = F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, (200, 404, 0, 401, 403, 500, 504, 400, 503, 200))), (k % 10 + 1).cast("int"))
+    kind = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, "application/pdf").otherwise("text/html; charset=utf-8")
+    where = F.when(k % 5 == 0, F.concat("url", F.lit("/a.PDF"))).otherwise(F.col("url"))
+    return _pages(spark, sf_dir).select("url", status.alias("status"), kind.alias("content_type"), where.alias("response_url"), (k % 11 == 0).alias("timed_out"), "page_id")
+
+
+def _fetch_labels(spark, sf_dir):
+    f = _fetches(spark, sf_dir)
+    flags = labels.fetch_flags(f.withColumn("url", F.concat(F.lit("https://x.test/"), F.col("page_id").cast("string"))))
+    names = [*labels.STATUS.values(), "file", "unknownContentType"]
+    return flags.select("group_name", *_flag(*names))
+
+
+def _parity(spark, sf_dir):
+    return sets.parity(_records(spark, sf_dir), ["internal", "anchor", "http-httpsError"]).select("page_id")
+
+
+def _index(inverted: bool, text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = _pages(spark, sf_dir)
+        flagged = labels.classify(_links(spark, sf_dir), site_of(pages), OPTIONS)
+        found = run_query(labels.records(flagged, labels.roll_up(flagged)), text, labels.PLACES, labels.flag)
+        return index.index(found, text, inverted).select("key", F.array_join("values", "\n").alias("vals"), F.size("values").cast("bigint").alias("n"))
+
+    return run
+
+
+def _url_lookup(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    wanted = pages.select(F.concat(F.lit("/"), F.split("url", "/")[3]).alias("url")).distinct().unionByName(_values(spark, "url string", [("/The",), ("/nowhere-at-all",)]).where("url <> ''")).distinct()
+    return sets.lookup(wanted, _links(spark, sf_dir))
+
+
+def _robots_parse(spark, sf_dir):
+    return robots.lines(_values(spark, tables.ROBOTS, [("https://site.test", ROBOTS_TEXT)])).select("origin", F.col("line_no").cast("int").alias("line_no"), "key", "value", "well_formed")
+
+
+def _robots_match(spark, sf_dir):
+    paths, patterns = _values(spark, "path string", [(p,) for p in PATHS]), _values(spark, "pattern string", [(p,) for p in PATTERNS])
+    pairs = paths.select("path", F.explode(F.array(*map(F.lit, PATTERNS))).alias("pattern"))
+    return pairs.join(patterns, "pattern", "left_semi").select("path", "pattern", robots.matches(F.col("path"), F.col("pattern")).alias("hit"))
+
+
+def _robots_allowed(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    path = urls.parts(F.col("url")).path
+    allow, disallow = F.array(F.lit("/fr/5")), F.array(F.lit("/fr/"), F.lit("/*9$"))
+    return pages.select("page_id", robots.allowed(path, allow, disallow).alias("allowed"))
+
+
+def _crawl_closure(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    n = pages.count()
+    edges = pages.select(F.col("page_id").alias("src"), ((F.col("page_id") * 7 + 1) % max(n, 1)).alias("dst"))
+    seeds = pages.where("page_id = 0").select(F.col("page_id").alias("node"))
+    return closures.closure(edges, seeds, max_depth=max(n, 1)).select(F.col("node").alias("page_id"), F.col("depth").cast("int").alias("depth"))
+
+
+def _fuzzy_suggest(spark, sf_dir):
+    rows = _values(spark, "ordinal int, suggestion string", list(enumerate(FUZZY_CANDIDATES)))
+    return suggest.suggest(rows, "alt").select("suggestion", F.col("insertions").cast("int").alias("insertions"))
+
+
+def _preview(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", truncated_markup(F.col("html")).alias("short"), F.length(cut_off_column(F.col("html"), 300, " ")).cast("bigint").alias("n_cut"))
+
+
+def _css_select(spark, sf_dir):
+    return selectors.select_elements(_pages(spark, sf_dir), "nav li > a[href^='/']").select("page_id", "node_pos", "href")
+
+
+QUERIES = {
+    "extract_links": _extract_links,
+    "resolve_urls": _resolve_urls,
+    "url_tokens": _url_tokens,
+    "url_parts": _url_parts,
+    "url_extension": _url_extension,
+    "group_rollup": _group_rollup,
+    "label_counts": _label_counts,
+    "label_internal_external": _labels("internal", "external"),
+    "label_protocol_mismatch": _labels("http-httpsError"),
+    "label_anchor": _labels("anchor"),
+    "label_banned": _labels("bannedString"),
+    "label_absolute_internal": _labels("absoluteInternal"),
+    "scheme_labels": _scheme_labels,
+    "image_labels": _image_labels,
+    "iframe_labels": _iframe_labels,
+    "fetch_labels": _fetch_labels,
+    "query_and": _query("internal & anchor"),
+    "query_or": _query("internal | http-httpsError"),
+    "query_not": _query("!external"),
+    "query_nested": _query("link & (internal, !http-httpsError) and not anchor"),
+    "set_xor": _set("internal", "anchor", "xor"),
+    "set_difference": _set("external", "anchor", "difference"),
+    "set_neither": _set("internal", "http-httpsError", "neither"),
+    "set_or_not": _set("internal", "anchor", "or_not"),
+    "set_parity": _parity,
+    "forward_index": _index(False, "link & internal"),
+    "inverted_index": _index(True, "link"),
+    "url_lookup": _url_lookup,
+    "robots_parse": _robots_parse,
+    "robots_match": _robots_match,
+    "robots_allowed": _robots_allowed,
+    "crawl_closure": _crawl_closure,
+    "fuzzy_suggest": _fuzzy_suggest,
+    "preview_truncate": _preview,
+    "css_select": _css_select,
+}
+
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+_S = f"""h AS (SELECT {_HOST} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+s0 AS (SELECT page_id, url, {_HOST} AS host, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '#(.+)$', 1) AS mark,
+  contains(lower(url), 'spam-farm') OR contains(lower(url), 'cheap-pills') AS bad, regexp_replace(url, '#.*$', '') AS grp FROM pages),
+s1 AS (SELECT s0.*, NOT bad AND s0.host = h.host AS internal, NOT bad AND s0.host <> h.host AS external, NOT bad AND scheme <> 'https' AS mismatch,
+  NOT bad AND mark <> '' AS anchor FROM s0, h),
+s AS (SELECT s1.page_id, s1.url, s1.bad, s1.anchor, s1.internal AS own_internal, s1.external AS own_external, s1.mismatch AS own_mismatch,
+  bool_or(s1.internal) OVER g AS internal, bool_or(s1.external) OVER g AS external, bool_or(s1.mismatch) OVER g AS mismatch, s1.grp
+  FROM s1 WINDOW g AS (PARTITION BY grp))"""
+_E = r"""t AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<a[\s/>][^>]*>?') AS tags FROM pages),
+e0 AS (SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1)::INT - 1 AS node_pos FROM t),
+e1 AS (SELECT page_id, url, node_pos, replace(replace(replace(replace(replace(regexp_extract(tag, 'href="([^"]*)"', 1), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS url_attr FROM e0),
+e AS (SELECT page_id, url, node_pos, url_attr, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || array_to_string(list_transform(string_split(url_attr, ''),
+  lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7E]|["#<>?`{}^]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') ELSE c END), '') AS url_prop FROM e1)"""
+
+
+def _select_s(columns: str, where: str = "true") -> str:
+    return f"WITH {_S} SELECT {columns} FROM s WHERE {where}"
+
+
+_TYPES = ", ".join(f"'{x}'" for x in urls.FILE_TYPES)
+_FETCH = f"""f AS (SELECT page_id, [200, 404, 0, 401, 403, 500, 504, 400, 503, 200][(page_id % 10 + 1)::INT] AS status,
+  CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 7 = 1 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS ct,
+  lower(regexp_extract(CASE WHEN page_id % 5 = 0 THEN url || '/a.PDF' ELSE url END, '([^.]*)$', 1)) AS ext, page_id % 11 = 0 AS late FROM pages),
+g AS (SELECT *, ct IS NOT NULL AND NOT starts_with(ct, 'text/html') AS aborted, ext IN ({_TYPES}) AS file FROM f)"""
+_SEEN = "NOT aborted AND NOT late AND status = "
+
+SQL = {
+    "extract_links": f"WITH {_E} SELECT page_id, node_pos, url_attr FROM e",
+    "resolve_urls": f"WITH {_E} SELECT page_id, node_pos, url_prop FROM e",
+    "url_tokens": r"""SELECT page_id, regexp_extract(url, '^([^:]*):', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS authority,
+      CASE WHEN regexp_matches(url, '^[^:]*://[^/?#]*/') THEN regexp_extract(url, '^[^:]*://[^/?#]*/([^?#]*)', 1) END AS path,
+      CASE WHEN regexp_matches(url, '^[^#]*\?') THEN regexp_extract(url, '\?([^#]*)', 1) END AS query,
+      CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)$', 1) END AS fragment FROM pages""",
+    "url_parts": rf"""SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin,
+      regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, CASE WHEN regexp_matches(url, '\?[^#]') THEN regexp_extract(url, '\?[^#]*', 0) ELSE '' END AS search,
+      CASE WHEN regexp_matches(url, '#.') THEN regexp_extract(url, '#.*$', 0) ELSE '' END AS hash, regexp_replace(url, '#.*$', '') AS bare FROM pages""",
+    "url_extension": "SELECT page_id, lower(regexp_extract(url, '([^.]*)$', 1)) AS ext, lower(regexp_extract(url, '([^.]*)$', 1)) IN (%s) AS is_file FROM pages" % ", ".join(f"'{x}'" for x in urls.FILE_TYPES),
+    "group_rollup": f"""WITH {_E}, h AS (SELECT {_HOST} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+      x AS (SELECT url_prop, regexp_extract(url_prop, '^[a-z]+://([^/?#]*)', 1) AS host, starts_with(url_prop, 'http:') AS plain,
+        contains(lower(url_prop), 'spam-farm') OR contains(lower(url_prop), 'cheap-pills') AS bad FROM e)
+      SELECT url_prop AS group_name, count(*)::BIGINT AS n_records, bool_or(NOT bad AND x.host = h.host) AS is_internal,
+        bool_or(NOT bad AND x.host <> h.host) AS is_external, bool_or(NOT bad AND plain) AS is_http_httpserror FROM x, h GROUP BY 1""",
+    "label_counts": f"""WITH {_S}, c AS (SELECT count(*) AS link, count(*) FILTER (internal) AS internal, count(*) FILTER (external) AS external, count(*) FILTER (anchor) AS anchor,
+        count(*) FILTER (mismatch) AS "http-httpsError", count(*) FILTER (own_internal AND url = lower(url)) AS "absoluteInternal", count(*) FILTER (bad) AS "bannedString", 0::BIGINT AS email FROM s)
+      SELECT label, n::BIGINT AS n, n = 0 AS is_empty FROM (UNPIVOT c ON COLUMNS(*) INTO NAME label VALUE n)""",
+    "label_internal_external": _select_s("page_id, url AS url_attr, own_internal AS is_internal, own_external AS is_external"),
+    "label_protocol_mismatch": _select_s("page_id, url AS url_attr, own_mismatch AS is_http_httpserror"),
+    "label_anchor": _select_s("page_id, url AS url_attr, anchor AS is_anchor"),
+    "label_banned": _select_s("page_id, url AS url_attr, bad AS is_bannedstring"),
+    "label_absolute_internal": _select_s("page_id, url AS url_attr, own_internal AND url = lower(url) AS is_absoluteinternal"),
+    "scheme_labels": f"""WITH v(node_pos, href) AS (VALUES {_sql_values(LINK_ROWS)}), x AS (SELECT node_pos, href, regexp_extract(href, '^([a-z]+):', 1) AS sch, regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) AS host FROM v)
+      SELECT node_pos::INT AS node_pos, CASE WHEN href IS NULL THEN '' WHEN sch IN ('http', 'https') THEN regexp_replace(href, '#.*$', '')
+          WHEN contains(href, '://') THEN 'null' || regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1) ELSE 'null' || regexp_replace(href, '^[a-z]+:', '') END AS group_name,
+        coalesce(sch IN ('http', 'https') AND host = 'site.test', false) AS is_internal, coalesce(sch IN ('http', 'https') AND host <> 'site.test', false) AS is_external, href IS NULL AS is_null,
+        coalesce(sch = 'mailto', false) AS is_email, coalesce(sch = 'file', false) AS is_localfile, coalesce(sch = 'javascript', false) AS is_javascriptlink,
+        coalesce(sch = 'http', false) AS is_http_httpserror, coalesce(sch NOT IN ('http', 'https', 'mailto', 'file', 'tel', 'javascript'), false) AS is_unusualscheme,
+        coalesce(regexp_matches(href, '#.'), false) AS is_anchor FROM x""",
+    "image_labels": f"""WITH v(node_pos, src, alt, w, h) AS (VALUES {_sql_values(IMAGE_ROWS)}), i(isrc, loaded, nw, nh) AS (VALUES {_sql_values(IMAGE_FACTS)}),
+      x AS (SELECT node_pos, src, alt, w, h, CASE WHEN starts_with(src, '/') THEN 'https://site.test' || src ELSE src END AS prop FROM v),
+      y AS (SELECT x.*, i.*, regexp_extract(prop, '^[a-z]+://([^/?#]*)', 1) = 'site.test' AS same FROM x LEFT JOIN i ON prop = isrc)
+      SELECT node_pos::INT AS node_pos, coalesce(same, false) AS is_internal, coalesce(NOT same, false) AS is_external, src IS NULL AS is_null, src IS NOT NULL AND coalesce(alt, '') = '' AS is_noalttext,
+        coalesce(loaded AND ((w IS NOT NULL AND NOT coalesce(CASE WHEN trim(w) = '' THEN 0 ELSE TRY_CAST(w AS DOUBLE) END = nw, false)) OR (h IS NOT NULL AND NOT coalesce(CASE WHEN trim(h) = '' THEN 0 ELSE TRY_CAST(h AS DOUBLE) END = nh, false))), false) AS is_impropersize,
+        loaded IS NOT NULL AS is_visited, coalesce(NOT loaded, false) AS is_unloaded, coalesce(NOT starts_with(prop, 'https:'), false) AS is_http_httpserror, coalesce(same AND src = prop, false) AS is_absoluteinternal FROM y""",
+    "iframe_labels": f"""WITH v(node_pos, src, title) AS (VALUES {_sql_values(FRAME_ROWS)}), x AS (SELECT *, regexp_extract(src, '^[a-z]+://([^/?#]*)', 1) = 'site.test' AS same FROM v)
+      SELECT node_pos::INT AS node_pos, coalesce(same, false) AS is_internal, coalesce(NOT same, false) AS is_external, src IS NULL AS is_null, src IS NOT NULL AND coalesce(title, '') = '' AS is_emptytitle,
+        coalesce(NOT starts_with(src, 'https:'), false) AS is_http_httpserror, coalesce(same, false) AS is_absoluteinternal FROM x""",
+    "fetch_labels": f"""WITH {_FETCH} SELECT 'https://x.test/' || page_id AS group_name, {', '.join(f'{_SEEN}{k} AS {_column(n)}' for k, n in labels.STATUS.items())},
+        file AS is_file, ct IS NULL OR (aborted AND NOT file) AS is_unknowncontenttype FROM g""",
+    "query_and": _select_s("page_id, url AS url_attr", "internal AND anchor"),
+    "query_or": _select_s("page_id, url AS url_attr", "internal OR mismatch"),
+    "query_not": _select_s("page_id, url AS url_attr", "NOT external"),
+    "query_nested": _select_s("page_id, url AS url_attr", "(internal OR NOT mismatch) AND NOT anchor"),
+    "set_xor": _select_s("page_id", "internal <> anchor"),
+    "set_difference": _select_s("page_id", "external AND NOT anchor"),
+    "set_neither": _select_s("page_id", "NOT (internal OR mismatch)"),
+    "set_or_not": _select_s("page_id", "internal OR NOT anchor"),
+    "set_parity": _select_s("page_id", "(internal <> anchor) <> mismatch"),
+    "forward_index": f"""WITH {_E}, h AS (SELECT {_HOST} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+      x AS (SELECT e.*, bool_or(regexp_extract(url_prop, '^[a-z]+://([^/?#]*)', 1) = h.host AND NOT (contains(lower(url_prop), 'spam-farm') OR contains(lower(url_prop), 'cheap-pills'))) OVER (PARTITION BY url_prop) AS internal FROM e, h)
+      SELECT url AS key, string_agg(url_attr, chr(10) ORDER BY page_id, node_pos) AS vals, count(*)::BIGINT AS n FROM x WHERE internal GROUP BY url""",
+    "inverted_index": f"WITH {_E} SELECT url_prop AS key, string_agg(url, chr(10) ORDER BY page_id, node_pos) AS vals, count(*)::BIGINT AS n FROM e GROUP BY url_prop",
+    "url_lookup": f"""WITH {_E}, w AS (SELECT '/' || string_split(url, '/')[4] AS url FROM pages UNION SELECT '/The' UNION SELECT '/nowhere-at-all')
+      SELECT url, CASE WHEN url IN (SELECT url_attr FROM e) THEN 'Found' ELSE 'None' END AS found FROM w""",
+    "robots_parse": """SELECT * FROM (VALUES ('https://site.test', 1, 'disallow', '/early', true), ('https://site.test', 5, 'sitemap', 'https://site.test/map.xml', true), ('https://site.test', 8, 'disallow', '/private', true),
+      ('https://site.test', 9, 'allow', '/private/open', true), ('https://site.test', 10, NULL, NULL, false), ('https://site.test', 11, 'allow', '/', true)) AS t(origin, line_no, key, value, well_formed)""",
+    "robots_allowed": """SELECT page_id, CASE WHEN contains(p, '/fr/5') THEN true WHEN contains(p, '/fr/') THEN false WHEN contains(p, '/') AND instr(substr(p, instr(p, '/') + 1), '9') + instr(p, '/') = length(p) AND instr(substr(p, instr(p, '/') + 1), '9') > 0 THEN false ELSE true END AS allowed
+      FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""",
+    "crawl_closure": """WITH RECURSIVE n AS (SELECT count(*) AS k FROM pages), r(page_id, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0
+      UNION SELECT (r.page_id * 7 + 1) % n.k, depth + 1 FROM r, n WHERE depth < n.k) SELECT page_id, min(depth)::INT AS depth FROM r GROUP BY 1""",
+    "fuzzy_suggest": "SELECT * FROM (VALUES %s) AS t(suggestion, insertions)" % ", ".join(f"('{n}', {len(n) - 3})" for n in FUZZY_CANDIDATES if re.search("a.*l.*t", n.lower())),
+    "preview_truncate": """SELECT page_id, CASE WHEN length(html) > 80 THEN substr(html, 1, 80) || '...' ELSE html END AS short,
+      length(CASE WHEN length(html) < 300 THEN html WHEN contains(substr(html, 1, 301), ' ') THEN regexp_replace(substr(html, 1, 301), '(?s) [^ ]*$', '') ELSE '' END)::BIGINT AS n_cut FROM pages""",
+}
