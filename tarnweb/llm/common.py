@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship  # noqa: F401
+
 #: A word of the mixing and shingle operators: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,23 +86,3 @@ def shard_of(value: Column, cuts: list[int]) -> Column:
         .cast("int")
     )
 
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: unless PYTHONPATH names its root,
-    Spark sends it to the executors, once an application."""
-    import os
-    import zipfile
-    from pathlib import Path
-
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or _SHIPPED.get("app") == spark.sparkContext.applicationId:
-        return
-    at = Path(tempfile.mkdtemp()) / "tarnweb_package.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in (root / "tarnweb").rglob("*.py"):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(str(at))
-    _SHIPPED["app"] = spark.sparkContext.applicationId
-
-
-_SHIPPED: dict[str, str] = {}

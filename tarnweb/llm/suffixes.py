@@ -259,7 +259,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     texts = _texts(docs)
     long = texts.where(F.octet_length("raw") >= WINDOW)
-    sample = [_anchor_keys(r["raw"])[0] for r in long.select("raw", "digest").orderBy("digest").limit(SPLITTER_TEXTS).collect()] if n > 1 else []
+    sample = [_anchor_keys(r["raw"])[0] for r in long.join(F.broadcast(long.select("digest").orderBy("digest").limit(SPLITTER_TEXTS)), "digest").select("raw").collect()] if n > 1 else []
     keys = sorted({k.tobytes() for x in sample for k in x[:64]})
     splitters = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else []
     runs = long.select("digest", "raw").mapInArrow(_runs(splitters), "range int, block binary")
