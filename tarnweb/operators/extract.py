@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import truncated_markup
-from ..plans.options import AuditOptions, SiteContext
+from ..plans.options import SiteContext
 
 TAGS = {"image": "img", "iframe": "iframe", "link": "a"}
 ORDER = {"image": 0, "iframe": 1, "selected": 2, "link": 3}
