@@ -7,9 +7,9 @@ full prefixes and shortens them, one level at a time, until the recall expected
 at the threshold reaches the target; classes below one trie node are candidates.
 
 Candidates form connected groups. A group is cut into blocks by hash and bounded
-by shingles, each pair of blocks is a tile, and a tile's candidate pairs are
-verified exactly in one task: pairs that share a trie node are looked up in an
-inverted list of the tile's shingles. Rows that leave a tile are per class (its
+by shingles, each pair of blocks is a tile, and a tile is verified exactly in one
+task by an inverted list of its shingles, pairs of the group that share no trie
+node included. Rows that leave a tile are per class (its
 links and whom it is connected to), never per pair, so a group of thousands of
 near copies costs comparisons but no rows. Groups of links come from rounds of
 label spreading over per-class edges, each written to the shared folder.
@@ -126,7 +126,7 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     return labels
 
 
-def _tile(node: list[bytes], side: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, threshold: float, same: bool):
+def _tile(node: list[bytes], side: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], threshold: float, same: bool):
     """Links of each class of a tile and a root in it: two blocks, or one."""
     n = len(node)
     links, root = np.zeros(n, np.int64), np.arange(n)
@@ -149,10 +149,6 @@ def _tile(node: list[bytes], side: np.ndarray, weight: np.ndarray, sets: list[np
         shared += part @ part.T
     common = shared.astype(np.int64)
     linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
-    candidate = np.zeros((n, n), bool)
-    for t in range(keys.shape[1]):
-        candidate |= keys[:, t][:, None] == keys[:, t][None, :]
-    linked &= candidate
     np.fill_diagonal(linked, False)
     if not same:
         linked &= side[:, None] != side[None, :]
@@ -176,14 +172,14 @@ def _verify(threshold: float):
         same = rows[0][1] == rows[0][2]
         sets = [np.frombuffer(r[6], "<u8") for r in rows]
         node = [r[4] for r in rows]
-        links, root = _tile(node, np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), sets, np.array([r[7] for r in rows]), threshold, same)
+        links, root = _tile(node, np.array([r[3] for r in rows]), np.array([r[5] for r in rows]), sets, threshold, same)
         return pa.RecordBatch.from_arrays(
             [pa.array(node, pa.binary()), pa.array(links), pa.array([node[i] for i in root], pa.binary())], names=["node", "links", "root"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The partition is sorted by tile; a tile is kept whole, the rest flows."""
-        names = ("group", "low", "high", "block", "node", "weight", "shingles", "nodes")
+        names = ("group", "low", "high", "block", "node", "weight", "shingles")
         rows = itertools.chain.from_iterable(zip(*[b.column(n).to_pylist() for n in names]) for b in batches)
         for _, tile in itertools.groupby(rows, key=lambda r: r[:3]):
             yield finish(list(tile))
@@ -221,17 +217,17 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     # Blocks by hash, so that no block and no group is gathered to number it.
     sized = groups.join(classes, groups["node"] == classes["set"])
     blocks = sized.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "group").select("node", "group", "weight", "nodes", "set_id", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = sized.join(blocks, "group").select("node", "group", "weight", "set_id", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # The text of one document of each class that has candidates.
     some = rows.where("set is not null").select("doc_id", "set", F.xxhash64("doc_id").alias("h"))
     chosen = placed.join(some, placed["node"] == some["set"]).where(F.col("doc_id").eqNullSafe(F.col("set_id")))
-    chosen = chosen.select("doc_id", "node", "group", "weight", "nodes", "blocks", "block").dropDuplicates(["node"])
+    chosen = chosen.select("doc_id", "node", "group", "weight", "blocks", "block").dropDuplicates(["node"])
     texts = docs.join(chosen.withColumnRenamed("doc_id", "want"), docs["doc_id"].eqNullSafe(F.col("want"))).drop("doc_id", "want")
-    fields = "node binary, group binary, weight long, nodes array<long>, blocks int, block int, shingles binary"
-    with_sets = texts.select("node", "group", "weight", "nodes", "blocks", "block", "text").mapInArrow(_with_shingles, fields)
+    fields = "node binary, group binary, weight long, blocks int, block int, shingles binary"
+    with_sets = texts.select("node", "group", "weight", "blocks", "block", "text").mapInArrow(_with_shingles, fields)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = with_sets.select("*", other.alias("with")).select(
-        "group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "weight", "shingles", "nodes"
+        "group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "weight", "shingles"
     )
     dealt = tiles.repartition(4 * partitions(spark), "group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
     verified, _ = stash(dealt.mapInArrow(_verify(threshold), "node binary, links long, root binary"), spark, "links")
