@@ -90,15 +90,15 @@ def _sets(depth: int):
         import xxhash
 
         for b in batches:
-            digest, size, keys = [], [], []
+            digest, size, nodes = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t or "")
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 size.append(len(s))
-                keys.append(node_keys(signature(s), depth) if len(s) else [])
+                nodes.append(node_keys(signature(s), depth) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "set", "size", "nodes"],
+                [b.column("doc_id"), b.column("key"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "set", "size", "nodes"],
             )
 
     return run
@@ -194,20 +194,23 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], pa.array(sets, pa.binary())], names=[*rest, "shingles"])
 
 
-def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, set_id, n_links for docs(doc_id, text).
-
-    class_id: least doc_id of the documents reached through links; set_id: least
-    doc_id with the same shingles; n_links: other documents at or above the
-    threshold, copies included."""
+def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, key, class_id, set_id, n_links, first for each row of docs(doc_id,
+    text). key: hash of the text; first: (doc_id, key) of the one row of the class
+    that stays where only one may, the least; null if no row has a doc_id."""
     spark = docs.sparkSession
     ship(spark)
     depth = prefix_depth(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, _ = stash(docs.mapInArrow(_sets(depth), "doc_id long, set binary, size long, nodes array<long>"), spark, "sets")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    rows, _ = stash(keyed.mapInArrow(_sets(depth), "doc_id long, key long, set binary, size long, nodes array<long>"), spark, "sets")
     # One row a class. The nodes follow from the set, so any row's will do.
     classes = rows.where("set is not null").groupBy("set").agg(
-        F.min("doc_id").alias("set_id"), F.count("*").alias("weight"), F.max("size").alias("size"), F.first("nodes").alias("nodes")
+        F.min("doc_id").alias("set_id"),
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("own_first"),
+        F.count("*").alias("weight"),
+        F.max("size").alias("size"),
+        F.first("nodes").alias("nodes"),
     )
     classes, at_classes = stash(classes, spark, "classes")
     member = classes.select("set", F.explode("nodes").alias("key"))
@@ -233,28 +236,50 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     verified, _ = stash(dealt.mapInArrow(_verify(threshold), "node binary, links long, root binary"), spark, "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), spark)
-    leader = found.join(classes.select("set", "set_id"), F.col("node") == F.col("set")).select("node", "group", "set_id")
-    least_id = leader.groupBy("group").agg(F.min("set_id").alias("class_id"))
-    by_node = leader.join(least_id, "group").select(F.col("node").alias("set"), "class_id")
+    leader = found.join(classes.select("set", "own_first"), F.col("node") == F.col("set")).select("node", "group", "own_first")
+    least_id = leader.groupBy("group").agg(F.min("own_first").alias("class_first"))
+    by_node = leader.join(least_id, "group").select(F.col("node").alias("set"), "class_first")
+    first = F.coalesce("class_first", "own_first")
     result = (
-        classes.select("set", "set_id", "weight")
+        classes.select("set", "set_id", "own_first", "weight")
         .join(links.withColumnRenamed("node", "set"), "set", "left")
         .join(by_node, "set", "left")
-        .select("set", "set_id", F.coalesce("class_id", "set_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        .select("set", "set_id", first["doc_id"].alias("class_id"), first.alias("first"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
     result, _ = stash(result, spark, "classes-out")
-    return rows.select("doc_id", "set").join(result, "set", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return rows.select("doc_id", "key", "set").join(result, "set", "left").select(
+        "doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first"
     )
 
 
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with only the least doc_id of each class; documents without
-    shingles or without doc_id stay."""
-    groups = joined(docs.select("doc_id", "text"), threshold)
-    gone = groups.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    return kept
+def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, set_id, n_links for docs(doc_id, text).
+
+    class_id: least doc_id of the documents reached through links; set_id: least
+    doc_id with the same shingles; n_links: other documents at or above the
+    threshold, copies included."""
+    return _grouped(docs, threshold, recall).select("doc_id", "class_id", "set_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class, the one of least doc_id (of least text
+    hash among rows that share it); repeated rows are a class like any other, so
+    one of them stays. Documents without shingles or without doc_id stay."""
+    groups, _ = stash(_grouped(docs.select("doc_id", "text"), threshold, recall).where("first is not null and doc_id is not null"), docs.sparkSession, "one-of-each")
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    gone = groups.where(~same).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct()
+    again = groups.where(same).groupBy(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).count().where("count > 1").drop("count")
+
+    def match(other: DataFrame):
+        return (rows["row.doc_id"].cast("long") == other["_gone"]) & (rows["text_key"] == other["_key"])
+
+    # The row travels as one struct, whatever its columns are called.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("text_key", F.xxhash64("row.text"))
+    rows = rows.join(gone, match(gone), "left_anti")
+    if again.limit(1).count():
+        repeated = rows.join(again, match(again), "left_semi").withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "text_key"]).drop("id")
+        rows = rows.join(again, match(again), "left_anti").unionByName(repeated)
+    return rows.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,18 @@ def test_forest(docs, rows):
     assert by[103] == by[104] == by[3] == 3 and by[100] == 100 and by[6] == 6
     kept = forest.one_of_each(docs)
     assert kept.columns == docs.columns and {103, 104}.isdisjoint(r["doc_id"] for r in kept.collect())
+    assert sum(r["doc_id"] == 5 for r in kept.collect()) == 1
+
+
+def test_one_of_each_shared_ids(spark):
+    """Rows that share a doc_id are judged one by one; of repeated rows one stays."""
+    rng = random.Random(4)
+    a, b, c = (text(rng, 60) for _ in range(3))
+    made = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c + " tail"), (4, None), (4, None), (None, a), (5, ""), (6, b)]
+    got = forest.one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    threes = [r for r in got if r["doc_id"] == 3]
+    assert len(threes) == 1 and threes[0]["text"] in (c, c + " tail")
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got if r["doc_id"] != 3) == sorted([("1", a), ("2", b), ("4", "None"), ("4", "None"), ("None", a), ("5", "")])
 
 
 def test_hot_group(spark):
