@@ -42,8 +42,8 @@ from .common import drop, partitions, read, ship, shared_dir, stash
 from .lcp_merge import K, Run, merge, pack, ranges, sort_run
 
 WINDOW, CELL = 400, 128
-#: Anchors of a sorted run at most, and texts that the range limits come from.
-RUN_ANCHORS, SPLITTER_TEXTS = 400_000, 512
+#: Anchors of a sorted run at most; texts that the range limits come from, and keys of each.
+RUN_ANCHORS, SPLITTER_TEXTS, SPLITTER_KEYS = 400_000, 512, 64
 U = np.uint64
 BASE = 0xD1342543DE82EF95
 MIX = U(0x9E3779B97F4A7C15)
@@ -113,6 +113,16 @@ def _anchor_keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return a[place[:, None] + np.arange(K)], place
 
 
+def _some_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SPLITTER_KEYS anchor keys of each text, spread over it."""
+    for b in batches:
+        keys = []
+        for raw in b.column("raw").to_pylist():
+            k = _anchor_keys(raw)[0]
+            keys += [x.tobytes() for x in k[:: -(-len(k) // SPLITTER_KEYS)]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+
+
 def _runs(splitters: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[bytes] = []
@@ -259,8 +269,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     texts = _texts(docs)
     long = texts.where(F.octet_length("raw") >= WINDOW)
-    sample = [_anchor_keys(r["raw"])[0] for r in long.join(F.broadcast(long.select("digest").orderBy("digest").limit(SPLITTER_TEXTS)), "digest").select("raw").collect()] if n > 1 else []
-    keys = sorted({k.tobytes() for x in sample for k in x[:64]})
+    # Only keys of K bytes reach the driver, at most SPLITTER_TEXTS * SPLITTER_KEYS.
+    picked = long.join(F.broadcast(long.select("digest").orderBy("digest").limit(SPLITTER_TEXTS)), "digest").select("raw")
+    keys = sorted({bytes(r["key"]) for r in picked.mapInArrow(_some_keys, "key binary").collect()}) if n > 1 else []
     splitters = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else []
     runs = long.select("digest", "raw").mapInArrow(_runs(splitters), "range int, block binary")
     merged = runs.repartitionById(n, F.col("range")).mapInArrow(_shared, "digest binary, place int")
