@@ -234,6 +234,16 @@ def test_hot_group(spark):
     assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {599}
 
 
+def test_long_chain(spark):
+    """Texts that drift: each is linked to the one before and the one after only."""
+    rng = random.Random(11)
+    words = [f"w{rng.getrandbits(48):x}" for _ in range(8 * 2000 + 100)]
+    made = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(2000)]
+    got = forest.joined(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert len({r["class_id"] for r in got}) == 1
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: 1 + (0 < i < 1999) for i in range(2000)}
+
+
 def test_lcp_merge():
     rng = np.random.default_rng(2)
     keys = rng.integers(97, 99, (3000, lcp_merge.K), np.uint8)
