@@ -19,8 +19,9 @@ Words are runs without ASCII white space, lower-cased. A text with fewer than N
 words has one shingle, all its words.
 
 Defined cases: null, empty or wordless texts have no shingles and link to
-nothing; rows with one doc_id are separate documents; a class of rows without
-any doc_id reports null; an empty table gives an empty result; extra columns are
+nothing; rows with one doc_id are separate documents, each judged on its own
+text; repeated rows are copies of each other; a class of rows without any doc_id
+reports null; an empty table gives an empty result; extra columns are
 kept by `one_of_each`.
 """
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, partitions, read, ship, stash
@@ -210,6 +211,11 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], pa.array(sets, pa.binary())], names=[*rest, "shingles"])
 
 
+def _row_id(doc_id: Column) -> list[Column]:
+    """doc_id as join keys that let null meet null."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")]
+
+
 def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """doc_id, key, class_id, set_id, n_links, first for each row of docs(doc_id,
     text). key: hash of the text; first: (doc_id, key) of the one row of the class
@@ -224,6 +230,7 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     classes = rows.where("set is not null").groupBy("set").agg(
         F.min("doc_id").alias("set_id"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("own_first"),
+        F.min("key").alias("any_key"),
         F.count("*").alias("weight"),
         F.max("size").alias("size"),
         F.first("nodes").alias("nodes"),
@@ -236,12 +243,12 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     # Blocks by hash, so that no block and no group is gathered to number it.
     sized = groups.join(classes, groups["node"] == classes["set"])
     blocks = sized.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "group").select("node", "group", "weight", "set_id", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # The text of one document of each class that has candidates.
-    some = rows.where("set is not null").select("doc_id", "set", F.xxhash64("doc_id").alias("h"))
-    chosen = placed.join(some, placed["node"] == some["set"]).where(F.col("doc_id").eqNullSafe(F.col("set_id")))
-    chosen = chosen.select("doc_id", "node", "group", "weight", "blocks", "block").dropDuplicates(["node"])
-    texts = docs.join(chosen.withColumnRenamed("doc_id", "want"), docs["doc_id"].eqNullSafe(F.col("want"))).drop("doc_id", "want")
+    # The text of one row of each class that has candidates: of own_first, or of any where no row has a doc_id.
+    text_key = F.coalesce(F.col("own_first.key"), F.col("any_key")).alias("key")
+    placed = sized.join(blocks, "group").select(
+        *_row_id(F.col("set_id")), text_key, "node", "group", "weight", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    )
+    texts = keyed.select(*_row_id(F.col("doc_id")), "key", "text").join(placed, ["id", "no_id", "key"]).dropDuplicates(["id", "no_id", "key"])
     fields = "node binary, group binary, weight long, blocks int, block int, shingles binary"
     with_sets = texts.select("node", "group", "weight", "blocks", "block", "text").mapInArrow(_with_shingles, fields)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -244,6 +244,17 @@ def test_long_chain(spark):
     assert {r["doc_id"]: r["n_links"] for r in got} == {i: 1 + (0 < i < 1999) for i in range(2000)}
 
 
+def test_repeated_rows(spark):
+    """Repeated rows, shared ids and null ids that have near copies: links of each row against brute force."""
+    rng = random.Random(12)
+    a, b, c, d, e = (text(rng, 60) for _ in range(5))
+    made = [(1, a), (1, a), (2, a + " tail"), (3, b), (3, c), (3, c), (4, b + " tail"), (5, c + " tail"), (None, d), (None, d), (6, d + " tail"), (None, e), (None, e + " tail"), (None, text(rng, 60))]
+    sets = [set(forest.shingles(t).tolist()) for _, t in made]
+    want = [(str(i), sum(len(x & y) >= 0.8 * len(x | y) for k, y in enumerate(sets) if k != j)) for j, ((i, _), x) in enumerate(zip(made, sets))]
+    got = forest.joined(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == sorted(want)
+
+
 def test_lcp_merge():
     rng = np.random.default_rng(2)
     keys = rng.integers(97, 99, (3000, lcp_merge.K), np.uint8)
