@@ -7,6 +7,7 @@ rounds is the depth of the site, not its size.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,12 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth for everything reached from seeds(node) over edges(src, dst),
-    each node at its least depth."""
+    each node at its least depth; with max_depth, only up to that depth."""
     seen = _checkpointed(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).where("node is not null").distinct()
         frontier = _checkpointed(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

@@ -36,7 +36,7 @@ class AuditOptions:
     disallow: tuple[str, ...] = ()
     selector: str | None = None
     exclude_related_links: bool = True
-    max_depth: int = 50
+    max_depth: int | None = None
 
     @property
     def banned(self) -> tuple[str, ...]:

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__
 from tarnweb import catalogue
 from tarnweb.functions import urls
-from tarnweb.operators import extract, index, labels, robots, sets
+from tarnweb.operators import closure, extract, index, labels, robots, sets
 from tarnweb.plans.language import run_query
 from tarnweb.plans.options import AuditOptions
 from pyspark.sql import functions as F
@@ -76,5 +76,14 @@ def test_pages_and_sets(spark):
     assert found["key"] == "https://site.test/a/" and list(found["values"]) == ["/One#x", "<a>", "/two", ""]
 
 
+def test_deep_closure(spark):
+    """A chain of pages longer than any fixed number of rounds is followed to its end, unless a depth is asked for."""
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(55)] + [("p55", "p0")], "src string, dst string").coalesce(1).cache()
+    seeds = spark.createDataFrame([("p0",)], "node string")
+    assert AuditOptions().max_depth is None
+    assert {r["node"]: r["depth"] for r in closure.closure(edges, seeds).collect()} == {f"p{i}": i for i in range(56)}
+    assert closure.closure(edges, seeds, 2).count() == 3
+
+
 def test_selector(spark):
     assert catalogue.QUERIES["css_select"](spark, SF).count() > 0
