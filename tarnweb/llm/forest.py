@@ -1,15 +1,17 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by banded MinHash LSH with exact verification.
 
 Documents become sets of 64-bit hashes of N words in a row. Documents with one
 set are a class and are joined as one. Each class has TREES signatures of DEPTH
-MinHash values; a tree is the sorted trie of its signatures. Matching starts at
-full prefixes and shortens them, one level at a time, until the recall expected
-at the threshold reaches the target; classes below one trie node are candidates.
+MinHash values. One prefix depth, the same for all, is worked out beforehand: the
+greatest at which the recall expected at the threshold reaches the target (4 of 6
+as set here). Classes with equal prefixes in a tree are candidates, found by an
+equality join of prefix hashes; there are no sorted tries, and prefixes are not
+shortened by matches found.
 
 Candidates form connected groups. A group is cut into blocks by hash and bounded
 by shingles, each pair of blocks is a tile, and a tile is verified exactly in one
-task by an inverted list of its shingles, pairs of the group that share no trie
-node included. Rows that leave a tile are per class (its
+task by an inverted list of its shingles, pairs of the group that share no prefix
+included. Rows that leave a tile are per class (its
 links and whom it is connected to), never per pair, so a group of thousands of
 near copies costs comparisons but no rows. Groups of links come from rounds of
 label spreading over per-class edges, until no label changes, each written to the
