@@ -3,9 +3,13 @@ folder, order-preserving shards and word splitting."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +19,44 @@ from ..workers import ship  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch that a Python worker turns into objects at once.
+SLICE = 512
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_slices(work: Callable[[Batches], Batches], tokens: bool = False, rows: int = SLICE) -> Callable[[Batches], Batches]:
+    """work for mapInArrow, over slices of at most so many rows. Workers are reused,
+    so what earlier work left in the process goes first (token tables, unless
+    this work uses them), and freed memory goes back to the system at the end."""
+
+    def run(batches: Batches) -> Batches:
+        table = sys.modules.get("tarnweb.llm.tokens")
+        if table and not tokens:
+            table.release()
+        yield from work(b.slice(i, rows) for b in batches for i in range(0, len(b), rows))
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir of the session. Only
-    where that is unset (tests, a laptop) a local folder is made and set."""
+    where that is unset on a local master (tests, a laptop) a local folder is
+    made and set; on a cluster that would lose files, so it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     kept = spark.sparkContext.getCheckpointDir()
     if not kept:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         kept = f"file://{tempfile.mkdtemp(prefix='tarnweb-')}"
         spark.sparkContext.setCheckpointDir(kept)
     return kept.rstrip("/")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import bounds, partitions, read, shard_of, shared_dir, ship
+from .common import bounds, in_slices, partitions, read, shard_of, shared_dir, ship
 from .tokens import pieces, portions
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -46,25 +46,7 @@ def _coder(vocabulary: str, end_id: int):
                 names=["shard", "doc_id", "n_tokens", "ids"],
             )
 
-    return run
-
-
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Position of each record in its shard; the partition is sorted by shard."""
-    shard, run = None, 0
-    for batch in batches:
-        of, n = batch.column("shard").to_numpy(), batch.column("n_tokens").to_numpy()
-        if not len(of):
-            continue
-        if of[0] != shard:
-            run = 0
-        total = np.cumsum(n)
-        begun = total - n
-        change = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        base = np.repeat(begun[change], np.diff(np.concatenate([change, [len(of)]])))
-        at = begun - base + np.where(of == of[0], run, 0)
-        shard, run = of[-1], int(at[-1] + n[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "at"])
+    return in_slices(run, tokens=True)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
@@ -77,7 +59,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
         _coder(vocabulary, end_id), "shard int, doc_id long, n_tokens long, ids binary"
     )
     dealt = coded.repartitionById(n + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
-    dealt.mapInArrow(_place, "shard int, doc_id long, n_tokens long, ids binary, at long").write.option("compression", "zstd").parquet(path)
+    order = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids").rowsBetween(Window.unboundedPreceding, 0)
+    dealt.withColumn("at", F.sum("n_tokens").over(order) - F.col("n_tokens")).write.option("compression", "zstd").parquet(path)
 
 
 def _decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +88,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, ids of every record of the files."""
-    return spark.read.parquet(path).select("doc_id", "ids").mapInArrow(_ids, "doc_id long, ids array<long>")
+    return spark.read.parquet(path).select("doc_id", "ids").mapInArrow(in_slices(_ids, tokens=True), "doc_id long, ids array<long>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +99,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         files.groupBy("shard").agg(F.max(F.col("at") + F.col("n_tokens")).alias("size"))
         .select(F.col("shard").alias("of"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     )  # a row for each shard, at most the number of shuffle partitions and one
-    digests = files.mapInArrow(_decoder, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    digests = files.mapInArrow(in_slices(_decoder, tokens=True), "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return digests.join(F.broadcast(shards), F.col("shard") == F.col("of")).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

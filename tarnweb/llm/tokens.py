@@ -26,8 +26,9 @@ DOUBTFUL = r"[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\|"
 PLAIN = r"[\x00-&(-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00ab\u00bb\u00bf\u00a1]*"
 LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 RUNS = LETTERS + "|" + LETTERS.replace("[", "[^ \n")
-#: Pieces kept in a worker; the table starts anew beyond that.
-MAX_PIECES = 800_000
+#: Pieces kept in a worker (about 170 bytes each, and as much for their runs).
+#: Beyond that the table goes on with the half used most.
+MAX_PIECES = 600_000
 
 
 class _Index(dict):
@@ -67,16 +68,27 @@ class Pieces:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.run_ids: dict[str, list[int]] = {}
+        self.run_ids: dict[str, bytes] = {}  # ids as unsigned 32-bit integers
         self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32)
-        self.start, self.count, self.chars = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.start, self.count, self.chars, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(4))
         self.used = self.known = 0
 
+    def shrink(self) -> None:
+        """Keep the half of the pieces used most, in their order; forget runs."""
+        often = np.sort(np.argsort(-self.uses[: self.known], kind="stable")[: self.known // 2])
+        names, ids, at, start, count, uses = list(self.index), self.ids, self.at, self.start[often], self.count[often], self.uses[often]
+        kept = [names[i] for i in often.tolist()]
+        self.clear()
+        where = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        self._add(ids[where], count, kept, at[where])
+        self.uses[: self.known] = uses // 2
+        self.index.update(zip(kept, range(len(kept))))
+
     def _add(self, ids: np.ndarray, counts: np.ndarray, pieces: list[str], at: np.ndarray | None = None) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.at))
         while self.known + len(pieces) > len(self.start):
-            self.start, self.count, self.chars = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.chars))
+            self.start, self.count, self.chars, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.chars, self.uses))
         new = slice(self.known, self.known + len(pieces))
         self.ids[self.used : self.used + len(ids)] = ids
         if at is not None:
@@ -108,17 +120,17 @@ class Pieces:
         together = [r for r in new if self.letters(r)]
         alone = [r for r in new if not self.letters(r)]
         for r, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            known[r] = e.ids
+            known[r] = np.array(e.ids, np.uint32).tobytes()
         if together:
-            ids = self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids
-            last = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            begin = 0
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.uint32)
+            last = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+            raw, begin = ids.tobytes(), 0
             for r, end in zip(together, last, strict=True):
-                known[r] = ids[begin:end]
+                known[r] = raw[begin:end]
                 begin = end
-        parts = [known[c[0]] if len(c) == 1 else [i for r in c for i in known[r]] for c in cut]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter(chain.from_iterable(parts), np.uint32, int(counts.sum())), counts
+        parts = [known[c[0]] if len(c) == 1 else b"".join([known[r] for r in c]) for c in cut]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.frombuffer(b"".join(parts), np.uint32), counts
 
     def cut(self, text: str) -> list[str]:
         if self.words and not self.offsets:
@@ -131,13 +143,14 @@ class Pieces:
         """(ids of all texts one after another, number of ids of each text,
         character start of each id within its text or None)."""
         if self.known > MAX_PIECES:
-            self.clear()
+            self.shrink()
         cut = [self.cut(t) for t in texts]
         per = np.fromiter(map(len, cut), np.int64, len(cut))
         piece = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(per.sum()))
         for i in range(0, len(self.index.new), 4096):
             self._learn(self.index.new[i : i + 4096])
         self.index.new.clear()
+        self.uses[: self.known] += np.bincount(piece, minlength=self.known)
         count = self.count[piece]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
@@ -163,6 +176,11 @@ def pieces(name: str, offsets: bool = False) -> Pieces:
     return _LOADED[key]
 
 
+def release() -> None:
+    """Drop the tables of this worker: it goes on with another operator."""
+    _LOADED.clear()
+
+
 def portions(texts: list[str], chars: int = 1 << 20):
     """Index ranges of about so many characters, one text at least."""
     begin = size = 0
