@@ -1,21 +1,32 @@
-"""N-gram Jaccard join by banded MinHash LSH with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents become sets of 64-bit hashes of N words in a row. Documents with one
 set are a class and are joined as one. Each class has TREES signatures of DEPTH
-MinHash values. One prefix depth, the same for all, is worked out beforehand: the
-greatest at which the recall expected at the threshold reaches the target (4 of 6
-as set here). Classes with equal prefixes in a tree are candidates, found by an
-equality join of prefix hashes; there are no sorted tries, and prefixes are not
-shortened by matches found.
+MinHash values; the signatures of one tree, sorted, are a prefix trie: classes
+that share a prefix stand side by side.
+
+Matching starts from whole signatures and shortens the matched prefix. Down to
+`floor_depth`, the depth at which the recall expected at the threshold reaches the
+target, prefixes are shortened in every tree where few enough classes (CROWD)
+share the shortened prefix. Where more do, the prefix stays as long as the other
+trees allow: a class may keep longer prefixes in so many trees that it is still
+found with the target recall, by prod(1 - threshold ** depth of each tree); if it
+could not be, its crowded prefixes are shortened to the floor too, and no class of
+that trie node is left out. So crowds that come from common passages stay apart,
+and groups of near copies, crowded in all trees, stay whole.
+
+Classes under one uncrowded prefix are compared by a sketch of SKETCH bytes, and
+those whose sketches agree often enough (chosen so that misses stay within the
+target) become candidates; a node of m classes leaves at most m - 1 edges.
 
 Candidates form connected groups. A group is cut into blocks by hash and bounded
 by shingles, each pair of blocks is a tile, and a tile is verified exactly in one
 task by an inverted list of its shingles, pairs of the group that share no prefix
 included. Rows that leave a tile are per class (its
-links and whom it is connected to), never per pair, so a group of thousands of
-near copies costs comparisons but no rows. Groups of links come from rounds of
-label spreading over per-class edges, until no label changes, each written to the
-shared folder.
+links and whom it is connected to), never per pair. A group of g near copies still
+costs about g * g / 2 comparisons, as links have to be counted, and g * g / BLOCK
+rows. Groups of links come from rounds of label spreading over per-class edges,
+until no label changes, each written to the shared folder.
 
 Words are runs without ASCII white space, lower-cased. A text with fewer than N
 words has one shingle, all its words.
@@ -30,6 +41,7 @@ kept by `one_of_each`.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,25 +49,53 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, read, ship, stash
+from .common import drop, in_slices, partitions, read, ship, stash
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
-TREES, DEPTH = 24, 6
+TREES, DEPTH, SKETCH = 28, 6, 64
+#: Classes that may share a prefix before it counts as crowded.
+CROWD = 256
 #: Bounds of a block: classes and shingles.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Bytes of a tree's signature: DEPTH values of 16 bits.
+PATH = 2 * DEPTH
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20_240_501))
 A = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * U(2) + U(1)
 B = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten prefixes until the expected recall at the threshold is reached."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def floor_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix at which the recall expected at the threshold reaches
+    the target; half of the misses allowed are left to the sketches."""
+    depth = DEPTH
+    while depth > 1 and (1 - threshold**depth) ** TREES > (1 - recall) / 2:
         depth -= 1
     return depth
 
 
+def crowded_depths(threshold: float, recall: float) -> list[int]:
+    """By number of crowded trees of a class: the longest prefix they may keep."""
+    floor = floor_depth(threshold, recall)
+
+    def enough(crowded: int, depth: int) -> bool:
+        return (1 - threshold**floor) ** (TREES - crowded) * (1 - threshold**depth) ** crowded <= (1 - recall) / 2
+
+    return [next((d for d in range(DEPTH, floor, -1) if enough(n, d)), floor) for n in range(TREES + 1)]
+
+
+def sketch_cut(threshold: float, recall: float) -> int:
+    """The most equal bytes to ask for, so that sketches of classes at the
+    threshold miss with at most half the probability allowed (binomial)."""
+    missed, cut = 0.0, 0
+    while cut < SKETCH:
+        missed += math.comb(SKETCH, cut) * threshold**cut * (1 - threshold) ** (SKETCH - cut)
+        if missed > (1 - recall) / 2:
+            return cut
+        cut += 1
+    return cut
+
+
 def shingles(text: str, n: int = N) -> np.ndarray:
     """Sorted distinct hashes of n words in a row."""
     import xxhash
@@ -73,39 +113,118 @@ def shingles(text: str, n: int = N) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """TREES x DEPTH MinHash values (upper halves of 64-bit multiply-add)."""
+    """TREES x DEPTH MinHash values of 16 bits (least of 64-bit multiply-adds, mixed)."""
     out = np.full(len(A), U(2**64 - 1), U)
     for i in range(0, len(s), 2048):
         out = np.minimum(out, (s[i : i + 2048, None] * A + B).min(0))
-    return (out >> U(32)).reshape(TREES, DEPTH)
+    out = (out ^ (out >> U(29))) * U(0xD6E8FEB86659FD93)
+    return (out >> U(48)).astype(">u2").reshape(TREES, DEPTH)
+
 
+def sketch(sig: np.ndarray) -> bytes:
+    """SKETCH bytes, from the values that matched prefixes reach last."""
+    return (sig[:, ::-1].T.ravel()[:SKETCH] & 0xFF).astype(np.uint8).tobytes()
 
-def node_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """A 63-bit key of each tree's prefix, the tree mixed in."""
-    key = np.arange(1, TREES + 1, dtype=U)
-    for d in range(depth):
-        key = (key ^ sig[:, d]) * U(0xD6E8FEB86659FD93)
-        key ^= key >> U(32)
-    return (key >> U(1)).astype(np.int64)
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for b in batches:
+        digest, size, trees, small = [], [], [], []
+        for t in b.column("text").to_pylist():
+            s = shingles(t or "")
+            sig = signature(s) if len(s) else None
+            digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            size.append(len(s))
+            trees.append(sig.tobytes() if len(s) else None)
+            small.append(sketch(sig) if len(s) else None)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("key"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(trees, pa.binary()), pa.array(small, pa.binary())],
+            names=["doc_id", "key", "set", "size", "trees", "sketch"],
+        )
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Rows x width bytes of a binary column whose values have one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _linked(node: np.ndarray, sketches: np.ndarray, cut: int) -> np.ndarray:
+    """For rows sorted by node: the first row of each row's candidates, itself
+    for a row without. All pairs of a node are compared, by distance in the
+    order, and only pairs not yet together are joined."""
+    root = np.arange(len(node))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    left, far = np.arange(len(node)), 0
+    while len(left):
+        far += 1
+        left = left[left + far < len(node)]
+        left = left[node[left] == node[left + far]]
+        apart = left[root[left] != root[left + far]]
+        for i in range(0, len(apart), 1 << 16):
+            some = apart[i : i + (1 << 16)]
+            for x in some[(sketches[some] == sketches[some + far]).sum(1) >= cut].tolist():
+                lo, hi = sorted((top(x), top(x + far)))
+                root[hi] = lo
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _tries(depth: int, cut: int):
+    """Of sorted tries (tree, path, set, sketch): an edge (a, b) for each class
+    linked within its node, and all classes (a, tree, path) of crowded nodes. Only
+    the rows of one uncrowded node are held back."""
+    names = ("tree", "path", "set", "sketch")
 
-def _sets(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            digest, size, nodes = [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t or "")
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                size.append(len(s))
-                nodes.append(node_keys(signature(s), depth) if len(s) else [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "set", "size", "nodes"],
+        kept = [np.zeros((0, 1), np.uint8), np.zeros((0, PATH), np.uint8), np.zeros((0, 16), np.uint8), np.zeros((0, SKETCH), np.uint8)]
+        crowd = None  # the crowded node that rows still come from
+
+        def closed(rows: list[np.ndarray], last: bool):
+            """Rows to give out of these, and those to keep for the next batch."""
+            nonlocal crowd
+            tree, path, own, sketches = rows
+            head = np.concatenate([tree, path[:, : 2 * depth]], axis=1)
+            node = np.concatenate([[0], np.cumsum((head[1:] != head[:-1]).any(1))]) if len(head) else np.zeros(0, np.int64)
+            size = np.bincount(node) if len(node) else np.zeros(0, np.int64)
+            crowded = size > CROWD
+            if crowd is not None and len(head) and head[0].tobytes() == crowd:
+                crowded[0] = True
+            hold = 0 if last or not len(head) or crowded[-1] else size[-1]
+            crowd = head[-1].tobytes() if len(head) and crowded[-1] else None
+            end = len(node) - hold
+            many = crowded[node[:end]]
+            few = np.flatnonzero(~many & (size[node[:end]] > 1))
+            root = _linked(node[few], sketches[few], cut)
+            child = np.flatnonzero(root != np.arange(len(few)))
+            many = np.flatnonzero(many)
+            a = [own[i].tobytes() for i in np.concatenate([few[child], many])]
+            b = [own[i].tobytes() for i in few[root[child]]] + [None] * len(many)
+            blank = [None] * len(child)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a, pa.binary()), pa.array(b, pa.binary()),
+                    pa.array(blank + tree[many, 0].tolist(), pa.int32()), pa.array(blank + [path[i].tobytes() for i in many], pa.binary()),
+                ],
+                names=["a", "b", "tree", "path"],
             )
+            return out, [x[end:] for x in rows]
 
-    return run
+        for batch in batches:
+            columns = [batch.column(n) for n in names]
+            new = [columns[0].to_numpy().astype(np.uint8)[:, None], *[_fixed(c, w) for c, w in zip(columns[1:], (PATH, 16, SKETCH))]]
+            out, kept = closed([np.concatenate(x) for x in zip(kept, new)], False)
+            yield out
+        yield closed(kept, True)[0]
+
+    return in_slices(run, rows=1 << 13)
 
 
 def star(edges: DataFrame) -> DataFrame:
@@ -203,7 +322,7 @@ def _verify(threshold: float):
         for _, tile in itertools.groupby(rows, key=lambda r: r[:3]):
             yield finish(list(tile))
 
-    return run
+    return in_slices(run)
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +332,31 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], pa.array(sets, pa.binary())], names=[*rest, "shingles"])
 
 
+def candidates(classes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, str]:
+    """Edges (a, b) between the sets of candidate classes, and where they are kept."""
+    spark = classes.sparkSession
+    floor = floor_depth(threshold, recall)
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    members = classes.select("set", "sketch", "trees", tree).select("tree", F.substr("trees", F.col("tree") * PATH + 1, F.lit(PATH)).alias("path"), "set", "sketch")
+    head = F.substring("path", 1, 2 * floor)
+    tries = members.repartition(partitions(spark), "tree", head).sortWithinPartitions("tree", "path", "set")
+    found, at_found = stash(tries.mapInArrow(_tries(floor, sketch_cut(threshold, recall)), "a binary, b binary, tree int, path binary"), spark, "tries")
+    edges = found.where("b is not null").select("a", "b").distinct()
+    crowded = found.where("b is null").select(F.col("a").alias("set"), "tree", "path", head.alias("head"))
+    if crowded.limit(1).count():
+        # A node's prefix is as short as the class in it that needs it shortest.
+        allowed = F.element_at(F.array(*map(F.lit, crowded_depths(threshold, recall))), (F.col("trees") + 1).cast("int"))
+        depth_of = crowded.groupBy("set").agg(F.count("*").alias("trees")).select("set", allowed.alias("depth"))
+        nodes = crowded.join(depth_of, "set").groupBy("tree", "head").agg(F.min("depth").alias("depth"))
+        placed = crowded.join(nodes, ["tree", "head"]).select("set", "tree", F.substr("path", F.lit(1), 2 * F.col("depth")).alias("prefix"))
+        least = placed.groupBy("tree", "prefix").agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        starred = placed.join(least, ["tree", "prefix"]).where("set <> b").select(F.col("set").alias("a"), "b").distinct()
+        edges = edges.unionByName(starred)
+    edges, at_edges = stash(edges, spark, "candidates")
+    drop(spark, at_found)
+    return edges, at_edges
+
+
 def _row_id(doc_id: Column) -> list[Column]:
     """doc_id as join keys that let null meet null."""
     return [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("no_id")]
@@ -224,24 +368,22 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     that stays where only one may, the least; null if no row has a doc_id."""
     spark = docs.sparkSession
     ship(spark)
-    depth = prefix_depth(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    rows, _ = stash(keyed.mapInArrow(_sets(depth), "doc_id long, key long, set binary, size long, nodes array<long>"), spark, "sets")
-    # One row a class. The nodes follow from the set, so any row's will do.
+    rows, _ = stash(keyed.mapInArrow(in_slices(_sets), "doc_id long, key long, set binary, size long, trees binary, sketch binary"), spark, "sets")
+    # One row a class. The trees follow from the set, so any row's will do.
     classes = rows.where("set is not null").groupBy("set").agg(
         F.min("doc_id").alias("set_id"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("own_first"),
         F.min("key").alias("any_key"),
         F.count("*").alias("weight"),
         F.max("size").alias("size"),
-        F.first("nodes").alias("nodes"),
+        F.first(F.struct("trees", "sketch")).alias("hashes"),
     )
     classes, at_classes = stash(classes, spark, "classes")
-    member = classes.select("set", F.explode("nodes").alias("key"))
-    least = member.groupBy("key").agg(F.min("set").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = member.join(least, "key").where(F.col("set") != F.col("first")).select(F.col("set").alias("a"), F.col("first").alias("b")).distinct()
+    edges, at_edges = candidates(classes.select("set", "hashes.*"), threshold, recall)
     groups = components(star(edges), spark)
+    drop(spark, at_edges)
     # Blocks by hash, so that no block and no group is gathered to number it.
     sized = groups.join(classes, groups["node"] == classes["set"])
     blocks = sized.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -252,7 +394,7 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     )
     texts = keyed.select(*_row_id(F.col("doc_id")), "key", "text").join(placed, ["id", "no_id", "key"]).dropDuplicates(["id", "no_id", "key"])
     fields = "node binary, group binary, weight long, blocks int, block int, shingles binary"
-    with_sets = texts.select("node", "group", "weight", "blocks", "block", "text").mapInArrow(_with_shingles, fields)
+    with_sets = texts.select("node", "group", "weight", "blocks", "block", "text").mapInArrow(in_slices(_with_shingles), fields)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiles = with_sets.select("*", other.alias("with")).select(
         "group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "weight", "shingles"

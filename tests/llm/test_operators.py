@@ -296,3 +296,43 @@ def test_empty(spark):
     for df in (mixing.mix(none), token_counts.count_tokens(none), pii.detect(none), token_files.encode_documents(spark, none), decontaminate.judged(none, items), fingerprints.fingerprinted(none), forest.joined(none), suffixes.repeated(none)):
         assert df.count() == 0
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_crowded_prefixes(spark):
+    """A passage that many texts share crowds prefixes; the links of near copies among them are all found."""
+    rng = random.Random(21)
+    passage = text(rng, 90)
+    made = [(i, passage + " " + text(rng, 70)) for i in range(700)]
+    made += [(1000 + i, t + " tail") for i, t in made[:60]]
+    sets = {d: set(forest.shingles(t).tolist()) for d, t in made}
+    want = {d: sum(len(x & y) >= 0.8 * len(x | y) for e, y in sets.items() if e != d) for d, x in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in forest.joined(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == want and sum(want.values()) == 120
+
+
+def test_forest_bounds():
+    depths = forest.crowded_depths(0.8, 0.99999)
+    assert depths == sorted(depths, reverse=True) and depths[0] == forest.DEPTH
+    for n, d in enumerate(depths):
+        floor = forest.floor_depth(0.8, 0.99999)
+        assert (1 - 0.8**floor) ** (forest.TREES - n) * (1 - 0.8**d) ** n <= 5e-6
+
+
+def test_pieces_shrink():
+    """The table of pieces keeps its answers when it is cut to the half used most."""
+    import public_tokenizers
+    from tarnweb.llm import tokens
+    from tokenizers import Tokenizer
+
+    rng, old = random.Random(5), tokens.MAX_PIECES
+    made = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(9000)}," for _ in range(60)) for _ in range(120)]
+    try:
+        tokens.MAX_PIECES = 700
+        for name, offsets in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", False)):
+            own, whole = tokens.Pieces(name, offsets), Tokenizer.from_file(public_tokenizers.path(name))
+            for i in range(0, 120, 20):
+                ids, lengths, _ = own.encode(made[i : i + 20])
+                want = [whole.encode(t, add_special_tokens=False).ids for t in made[i : i + 20]]
+                assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
+    finally:
+        tokens.MAX_PIECES = old
