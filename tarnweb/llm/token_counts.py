@@ -1,7 +1,7 @@
 """Token counts of sections by offset-mapped attribution.
 
-A whole document is encoded once, with the character where each token starts.
-Sections are spans that tile the text; both lists are sorted, so a binary search
+A whole document is encoded once by the library, which gives the characters where
+each token starts and ends. Sections are spans that tile the text; both lists are sorted, so a binary search
 joins them. A token that crosses a border belongs, by rule, to the section of
 its first character; how many cross is reported.
 
@@ -15,13 +15,14 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, ship
-from .tokens import pieces, portions
+from .common import in_slices, read, ship
+from .tokens import portions, whole
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -38,30 +39,25 @@ def _only_line_feeds(text: str) -> bool:
     return not any(c in text for c in "\r\x0b\x0c\x1c\x1d\x1e\x85  ")
 
 
-def attribute(token_at: np.ndarray, section_at: np.ndarray, length: int) -> tuple[np.ndarray, int]:
-    """Tokens of each section, and how many tokens cross a border. Tokens that
-    share one character's bytes start and end together."""
+def attribute(token_at: np.ndarray, token_end: np.ndarray, section_at: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """Tokens of each section, and how many tokens cross a border."""
     section = np.searchsorted(section_at, token_at, "right") - 1
-    counts = np.bincount(section, minlength=len(section_at))
-    distinct = np.concatenate([np.unique(token_at), [length]])
-    end = distinct[np.searchsorted(distinct, token_at, "right")] if len(token_at) else token_at
     border = np.concatenate([section_at[1:], [length]])
-    return counts, int((end > border[section]).sum()) if len(token_at) else 0
+    return np.bincount(section, minlength=len(section_at)), int((token_end > border[section]).sum())
 
 
 def _counter(vocabulary: str, sections: Callable[[str], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(vocabulary, offsets=True)
+        tokenizer = whole(vocabulary)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             tokens, number, crossing, per = [], [], [], []
-            for lo, hi in portions(texts):
-                _, lengths, at = table.encode(texts[lo:hi])
-                ends = np.cumsum(lengths)
-                for text, n, end in zip(texts[lo:hi], lengths.tolist(), ends.tolist()):
+            for lo, hi in portions(texts, 1 << 18):
+                for text, e in zip(texts[lo:hi], tokenizer.encode_batch(texts[lo:hi], add_special_tokens=False)):
+                    offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
                     starts = sections(text)
-                    counts, crossed = attribute(at[end - n : end], starts, len(text))
-                    tokens.append(n)
+                    counts, crossed = attribute(offsets[:, 0], offsets[:, 1], starts, len(text))
+                    tokens.append(len(offsets))
                     number.append(len(starts))
                     crossing.append(crossed)
                     per.append(",".join(map(str, counts.tolist())))
@@ -70,7 +66,7 @@ def _counter(vocabulary: str, sections: Callable[[str], np.ndarray]):
                 names=["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
             )
 
-    return run
+    return in_slices(run, tokens=True)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, sections: Callable[[str], np.ndarray] = line_starts) -> DataFrame:

@@ -37,7 +37,7 @@ def _coder(vocabulary: str, end_id: int):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             records, counts = [], []
             for a, b in portions(texts):
-                ids, lengths, _ = table.encode(texts[a:b])
+                ids, lengths = table.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 records += simple8b.encode(ids, lengths + 1)
                 counts.append(lengths + 1)

@@ -26,9 +26,9 @@ DOUBTFUL = r"[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\|"
 PLAIN = r"[\x00-&(-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00ab\u00bb\u00bf\u00a1]*"
 LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 RUNS = LETTERS + "|" + LETTERS.replace("[", "[^ \n")
-#: Pieces kept in a worker (about 170 bytes each, and as much for their runs).
-#: Beyond that the table goes on with the half used most.
-MAX_PIECES = 600_000
+#: Pieces kept in a worker, about 170 bytes each. Beyond that the table goes on
+#: with the half used most.
+MAX_PIECES = 200_000
 
 
 class _Index(dict):
@@ -44,9 +44,9 @@ class _Index(dict):
 
 
 class Pieces:
-    """Ids and character starts of the tokens of each distinct piece."""
+    """Ids of the tokens of each distinct piece."""
 
-    def __init__(self, name: str, offsets: bool = False):
+    def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -55,11 +55,9 @@ class Pieces:
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         self.words = "word_bpe" in os.path.basename(path)
-        self.offsets = offsets
         self.split = regex.compile(BYTE_LEVEL).findall
         self.doubtful = regex.compile(DOUBTFUL).search
         self.plain, self.letters, self.runs = re.compile(PLAIN).fullmatch, re.compile(LETTERS).fullmatch, re.compile(RUNS).findall
-        self.chunks = re.compile(r"[^ \n]*[ \n]|[^ \n]+").findall
         if self.words:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -68,80 +66,69 @@ class Pieces:
 
     def clear(self) -> None:
         self.index = _Index()
-        self.run_ids: dict[str, bytes] = {}  # ids as unsigned 32-bit integers
-        self.ids, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32)
-        self.start, self.count, self.chars, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(4))
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start, self.count, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self.used = self.known = 0
 
     def shrink(self) -> None:
-        """Keep the half of the pieces used most, in their order; forget runs."""
+        """Keep the half of the pieces used most, in their order."""
         often = np.sort(np.argsort(-self.uses[: self.known], kind="stable")[: self.known // 2])
-        names, ids, at, start, count, uses = list(self.index), self.ids, self.at, self.start[often], self.count[often], self.uses[often]
+        names, ids, start, count, uses = list(self.index), self.ids, self.start[often], self.count[often], self.uses[often]
         kept = [names[i] for i in often.tolist()]
         self.clear()
         where = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        self._add(ids[where], count, kept, at[where])
+        self._add(ids[where], count)
         self.uses[: self.known] = uses // 2
         self.index.update(zip(kept, range(len(kept))))
 
-    def _add(self, ids: np.ndarray, counts: np.ndarray, pieces: list[str], at: np.ndarray | None = None) -> None:
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
-            self.ids, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.at))
-        while self.known + len(pieces) > len(self.start):
-            self.start, self.count, self.chars, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.chars, self.uses))
-        new = slice(self.known, self.known + len(pieces))
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + len(counts) > len(self.start):
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
+        new = slice(self.known, self.known + len(counts))
         self.ids[self.used : self.used + len(ids)] = ids
-        if at is not None:
-            self.at[self.used : self.used + len(ids)] = at
         self.start[new] = self.used + np.cumsum(counts) - counts
         self.count[new] = counts
-        self.chars[new] = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.used += len(ids)
-        self.known += len(pieces)
+        self.known += len(counts)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces; they keep the order in which they got numbers."""
-        if self.words and not self.offsets:
-            ids, counts = self._runs(pieces)
-            self._add(ids, counts, pieces)
+        if self.words:
+            self._add(*self._runs(pieces))
             return
-        got = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        counts = np.array([len(e.ids) for e in got], np.int64)
-        ids = np.array([i for e in got for i in e.ids], np.uint32)
-        self._add(ids, counts, pieces, np.array([a for e in got for a, _ in e.offsets], np.int32))
+        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        self._add(np.array([i for e in got for i in e.ids], np.uint32), np.array([len(e.ids) for e in got], np.int64))
 
     def _runs(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by way of the runs of letters and of other characters in plain
-        pieces. A run of letters is one pre-token, whose last token is marked,
-        so all new runs of letters can go through one call."""
-        plain, known = self.plain, self.run_ids
-        cut = [self.runs(p) if plain(p) and "<|" not in p else [p] for p in pieces]
-        new = list(dict.fromkeys(r for c in cut for r in c if r not in known))
-        together = [r for r in new if self.letters(r)]
-        alone = [r for r in new if not self.letters(r)]
-        for r, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            known[r] = np.array(e.ids, np.uint32).tobytes()
+        """Ids of new pieces. A run of letters is one pre-token, whose last token
+        is marked, so all runs of letters go through one call."""
+        together = [p for p in pieces if self.letters(p)]
+        alone = [p for p in pieces if not self.letters(p)]
+        found = {}
+        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            found[p] = np.array(e.ids, np.uint32).tobytes()
         if together:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.uint32)
             last = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             raw, begin = ids.tobytes(), 0
-            for r, end in zip(together, last, strict=True):
-                known[r] = raw[begin:end]
+            for p, end in zip(together, last, strict=True):
+                found[p] = raw[begin:end]
                 begin = end
-        parts = [known[c[0]] if len(c) == 1 else b"".join([known[r] for r in c]) for c in cut]
+        parts = [found[p] for p in pieces]
         counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         return np.frombuffer(b"".join(parts), np.uint32), counts
 
     def cut(self, text: str) -> list[str]:
-        if self.words and not self.offsets:
+        if self.words:
+            if self.plain(text) and "<|" not in text:
+                return self.runs(text)
             return text.replace("\n", " ").split(" ")
-        if self.words:  # the white space goes with the piece before it, so lengths add up
-            return self.chunks(text)
         return [text] if self.doubtful(text) else self.split(text)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """(ids of all texts one after another, number of ids of each text,
-        character start of each id within its text or None)."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text)."""
         if self.known > MAX_PIECES:
             self.shrink()
         cut = [self.cut(t) for t in texts]
@@ -157,23 +144,22 @@ class Pieces:
         where = np.repeat(self.start[piece] - (ends - count), count) + np.arange(total)
         first = np.concatenate([[0], np.cumsum(per)])
         edge = np.concatenate([[0], ends])[first]
-        if not self.offsets:
-            return self.ids[where], np.diff(edge), None
-        chars = self.chars[piece]
-        begun = np.cumsum(chars) - chars
-        base = np.repeat(np.concatenate([begun, [0]])[first[:-1]], per)
-        return self.ids[where], np.diff(edge), np.repeat(begun - base, count) + self.at[where]
+        return self.ids[where], np.diff(edge)
 
 
-_LOADED: dict[tuple[str, bool], Pieces] = {}
+_LOADED: dict[str, Pieces] = {}
 
 
-def pieces(name: str, offsets: bool = False) -> Pieces:
+def pieces(name: str) -> Pieces:
     """One table a worker process and vocabulary."""
-    key = (name, offsets)
-    if key not in _LOADED:
-        _LOADED[key] = Pieces(name, offsets)
-    return _LOADED[key]
+    if name not in _LOADED:
+        _LOADED[name] = Pieces(name)
+    return _LOADED[name]
+
+
+def whole(name: str):
+    """The library's tokenizer itself, one a worker process and vocabulary."""
+    return pieces(name).tokenizer
 
 
 def release() -> None:

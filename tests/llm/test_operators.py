@@ -86,12 +86,13 @@ def test_quality_odd(docs, spark):
     assert quality.accepted(docs, none, threshold=0.5).columns == docs.columns
 
 
-def test_token_counts(docs, rows):
+@pytest.mark.parametrize("vocabulary", [token_counts.VOCABULARY, "word_bpe_49k.json"])
+def test_token_counts(docs, rows, vocabulary):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
-    got = collections.Counter(tuple(r) for r in token_counts.count_tokens(docs).collect())
+    t = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    got = collections.Counter(tuple(r) for r in token_counts.count_tokens(docs, vocabulary).collect())
     want = collections.Counter()
     for d, x in texts(rows):
         e = t.encode(x, add_special_tokens=False)
@@ -328,10 +329,10 @@ def test_pieces_shrink():
     made = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(9000)}," for _ in range(60)) for _ in range(120)]
     try:
         tokens.MAX_PIECES = 700
-        for name, offsets in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", False)):
-            own, whole = tokens.Pieces(name, offsets), Tokenizer.from_file(public_tokenizers.path(name))
+        for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+            own, whole = tokens.Pieces(name), Tokenizer.from_file(public_tokenizers.path(name))
             for i in range(0, 120, 20):
-                ids, lengths, _ = own.encode(made[i : i + 20])
+                ids, lengths = own.encode(made[i : i + 20])
                 want = [whole.encode(t, add_special_tokens=False).ids for t in made[i : i + 20]]
                 assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
     finally:
