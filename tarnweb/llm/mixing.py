@@ -8,6 +8,11 @@ sequence is cut at the total budget. Sources that run out of passes fall out of
 the queue, and what they leave goes to the others by weight, which is just what
 the targets say.
 
+Within a source and pass finish times follow the order of the shuffle, so all that
+the documents need to know is the last place taken in each pass of their source:
+only (source, place, size) is shuffled and sorted, never a text. Copies of one row
+share a place; where the cut goes through them, they are numbered.
+
 Nothing is gathered by source: running sums are taken in (source, slice of the
 shuffle) groups, whose totals are added up in a table of sources x slices, so a
 source with a third of all rows is spread as evenly as any other.
@@ -79,11 +84,16 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, passes: in
     )
 
 
+def _of_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with the figures of their source."""
+    return rows.join(sources, rows["src"].eqNullSafe(sources["src"])).drop("src")
+
+
 def _queued(rows: DataFrame, sources: DataFrame, slices: DataFrame, bits: int) -> DataFrame:
     """Adds each row's source figures and its running words within the source."""
     order = Window.partitionBy("sid", "slice").orderBy("key", "tie", "size")
     return (
-        rows.join(F.broadcast(sources), rows["src"].eqNullSafe(sources["src"])).drop("src")
+        _of_source(rows, sources)
         .withColumn("slice", F.shiftright("key", 60 - bits))
         .join(slices, ["sid", "slice"])
         .withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -106,10 +116,8 @@ def mix(
     size: Column | None = None,
 ) -> DataFrame:
     """row (struct of docs' columns), size, source_size, target, copies: how
-    often the mix takes each document, between 0 and passes.
-
-    The number of sources is bounded by MAX_SOURCES (checked), so the table of
-    sources may be broadcast; the table of slices is joined by key."""
+    often the mix takes each document, between 0 and passes. Tables of a row for
+    each source are broadcast up to MAX_SOURCES rows and joined by key beyond."""
     spark: SparkSession = docs.sparkSession
     size = word_count(F.col(text)) if size is None else size
     bits = max(4, (4 * partitions(spark)).bit_length())
@@ -122,11 +130,11 @@ def mix(
     )
     narrow, at_narrow = stash(rows.drop("row"), spark, "mix-sizes")
     sources, at_sources = stash(targets(narrow.select("src", "size"), weights, share, passes).coalesce(1), spark, "mix-sources")
-    if sources.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    few = sources.count() <= MAX_SOURCES
+    sources = F.broadcast(sources) if few else sources
     by_slice = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
-        narrow.join(F.broadcast(sources), narrow["src"].eqNullSafe(sources["src"]))
+        _of_source(narrow, sources)
         .groupBy("sid", F.shiftright("key", 60 - bits).alias("slice"))
         .agg(F.sum("size").alias("words"))
         .select("sid", "slice", F.coalesce(F.sum("words").over(by_slice), F.lit(0)).alias("before"))
@@ -135,7 +143,7 @@ def mix(
     queue = (
         _queued(narrow, sources, slices, bits)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-        .select(_finish(F.col("pass")).alias("finish"), "key", "tie", "size")
+        .select("sid", "pass", _finish(F.col("pass")).alias("finish"), "key", "tie", "size")
     )
     # The global range sort, kept in the shared folder: a file of it is one range.
     order = ["finish", "key", "tie", "size"]
@@ -154,14 +162,33 @@ def mix(
             cut, strict = (last, False) if last else (first, True)
             break
         done += words
-    drop(spark, at_ranged, at_narrow)
-    queued = _queued(rows, sources, slices, bits)
-    copies = F.lit(passes)
+    taken = F.lit(True)
     if cut is not None:
         limit = F.struct(F.lit(cut[0]), F.lit(cut[1]).cast("long"), F.lit(cut[2]).cast("long"), F.lit(cut[3]).cast("long"))
-        place = [F.struct(_finish(p), F.col("key"), F.col("tie"), F.col("size")) for p in range(passes)]
-        copies = sum(((x < limit) if strict else (x <= limit)).cast("int") for x in place)
-    return queued.select("row", "size", "source_size", "target", copies.alias("copies"))
+        taken = F.struct(*order) < limit if strict else F.struct(*order) <= limit
+    place = F.struct("key", "tie", "size")
+    # At each place: rows, and how many of them the pass takes. Then the last place with any.
+    places = ranged.groupBy("sid", "pass", place.alias("place")).agg(F.count("*").alias("rows"), F.count_if(taken).alias("taken")).where("taken > 0")
+    lasts = places.groupBy("sid", "pass").agg(F.max(F.struct("place", "taken", "rows")).alias("last"))
+    lasts, at_lasts = stash(lasts.groupBy("sid").agg(F.collect_list("last").alias("lasts")), spark, "mix-lasts")  # a row a pass
+    split = lasts.where(F.exists("lasts", lambda x: x["taken"] < x["rows"])).limit(1).count() > 0
+    drop(spark, at_ranged, at_narrow, at_slices)
+    placed = _of_source(rows, sources).withColumn("place", place).join(F.broadcast(lasts) if few else lasts, "sid", "left")
+
+    def count(matches) -> Column:
+        return F.coalesce(F.size(F.filter("lasts", matches)), F.lit(0))
+
+    def through(x: Column) -> Column:
+        return (x["place"] == F.col("place")) & (x["taken"] < x["rows"])
+
+    plain = count(lambda x: (F.col("place") < x["place"]) | ((F.col("place") == x["place"]) & (x["taken"] >= x["rows"])))
+    out = ["row", "size", "source_size", "target"]
+    if not split:
+        return placed.select(*out, plain.alias("copies"))
+    cut_through = F.coalesce(F.exists("lasts", through), F.lit(False))
+    numbered = placed.where(cut_through).withColumn("number", F.row_number().over(Window.partitionBy("sid", "place").orderBy("sid")))
+    some = numbered.select(*out, (plain + count(lambda x: through(x) & (F.col("number") <= x["taken"]))).alias("copies"))
+    return placed.where(~cut_through).select(*out, plain.alias("copies")).unionByName(some)
 
 
 #: Sources are data sets, not documents; their table is broadcast up to here.
@@ -176,7 +203,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: doc_id, size, source_size, target, taken for all documents."""
-    taken = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), size=None)
+    docs = read(spark, sf_dir, "documents")
+    taken = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), size=F.col("words"))
     return taken.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

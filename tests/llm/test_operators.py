@@ -59,6 +59,24 @@ def test_mix(docs, rows):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mix_repeated_rows(spark):
+    """Copies of one row that the cut goes through: as many are taken as fit."""
+    made = [(1, "a b c", "x")] * 50 + [(i, "d e", "y") for i in range(2, 40)] + [(None, "f", None)] * 9
+    d = spark.createDataFrame(made, "doc_id bigint, text string, source string")
+    for share in (0.3, 1.1, 1.5, 2.0):
+        got = mixing.mix(d, share=share).select("size", "copies").collect()
+        whole = sum(r["size"] for r in got)
+        taken = sum(r["size"] * r["copies"] for r in got)
+        assert len(got) == len(made) and share * whole - 3 <= taken <= share * whole
+
+
+def test_mix_many_sources(spark, monkeypatch, docs):
+    """Beyond the bound the tables of sources are joined by key, with the same result."""
+    want = sorted(map(str, mixing.mix(docs).select("row.doc_id", "size", "copies").collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    assert sorted(map(str, mixing.mix(docs).select("row.doc_id", "size", "copies").collect())) == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
