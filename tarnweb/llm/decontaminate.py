@@ -1,19 +1,22 @@
 """Benchmark decontamination with a positional inverted index, in Spark SQL only.
 
 1. Test windows (N words of an item; a shorter item is one window) and the
-   occurrences of every test term in all training texts are counted.
-2. Each window is anchored at its rarest term. The index stores a posting for
-   every occurrence of an anchor term in the training texts: term, document,
-   position and the words around it, sorted by term within each segment (file).
-3. A window's list is its anchor's postings shifted by the anchor's offset; the
-   lists of its other terms are intersected at their own offsets through the
-   words stored with the posting. All agreeing is an exact phrase; `near` counts
-   the window's terms around the anchor for proximity matches.
-
-Anchoring at rare terms keeps the index a small part of the corpus, and a term
-that is frequent in the corpus is looked up only if a window has none rarer.
-Terms and windows of the benchmark are broadcast while they are fewer than
-MAX_BROADCAST_ROWS and joined by key beyond that.
+   occurrences of every test term in all training texts are counted. The terms of
+   a window are ranked from the rarest on; a window with a term that no text has
+   is out.
+2. The index stores postings (term, document, position) of training tokens, sorted
+   by term within each segment (file). Only postings near (within N - 1 words of)
+   an occurrence of some window's rarest term can take part in a match, so only
+   those of test terms there are stored.
+3. The list of a window's rarest term, shifted by its offset, gives candidate
+   starts; the list of its next-rarest term, shifted likewise, is intersected with
+   them, and what is left is intersected with the lists of all other terms. What
+   all lists agree on is an exact phrase. `nearby` intersects by distance instead:
+   places of the rarest term around which a share of the window's terms stands.
+
+Joins of lists are by (document, term, position), so a frequent term or a long
+text is spread like any other. Terms and windows of the benchmark are broadcast
+while they are fewer than MAX_BROADCAST_ROWS and joined by key beyond that.
 
 Defined cases: null or wordless texts have no words and no hits (not
 contaminated); null item ids take part in hits but cannot be listed; equal items
@@ -31,6 +34,8 @@ from .common import drop, read, stash
 
 N = 13
 MAX_BROADCAST_ROWS = 200_000
+#: More terms than any window has.
+N_MAX = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,56 +59,95 @@ def windows_of(items: DataFrame, n: int = N) -> DataFrame:
     return words.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.slice("words", F.col("at"), F.lit(n)).alias("window"))
 
 
+def _wid(window: str) -> Column:
+    """16 bytes that stand for a window (no word holds a blank)."""
+    return F.unhex(F.substring(F.sha2(F.concat_ws(" ", window), 256), 1, 32))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """item_id, window, term, off: each window with its rarest term and where
-    that stands in it. Windows with a term that no text has are left out."""
+def ranked(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """wid, terms of each distinct window: (n, term, off) from the rarest on.
+    Windows with a term that no text has are left out."""
+    spark = docs.sparkSession
     terms = windows.select(F.explode("window").alias("term")).distinct()
     found = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    counts = found.join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    distinct = windows.select("window").distinct()
-    rarest = (
-        distinct.select("window", F.posexplode("window").alias("off", "term"))
-        .join(counts, "term", "left")
-        .groupBy("window")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off")).alias("a"))
-        .where("a.n > 0")
-    )
-    return windows.join(rarest, "window").select("item_id", "window", F.col("a.term").alias("term"), F.col("a.off").alias("off")).distinct()
+    counts, at_counts = stash(found.join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("n")), spark, "counts")
+    each = windows.select("wid", "window").distinct().select("wid", F.posexplode("window").alias("off", "term")).join(_small(counts), "term", "left")
+    lists = each.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "off"))).alias("terms"))  # N terms
+    out, _ = stash(lists.where(F.col("terms")[0]["n"] > 0), spark, "windows")
+    drop(spark, at_counts)
+    return out
 
 
-def build_index(docs: DataFrame, anchors: DataFrame, n: int = N) -> DataFrame:
-    """Postings of the anchor terms: term, k1, k2, pos, first (position of the
-    first stored word), around (up to n - 1 words to either side)."""
+def build_index(docs: DataFrame, windows: DataFrame, n: int = N) -> DataFrame:
+    """Postings term, k1, k2, pos of test terms near rarest terms of windows."""
     words = _keyed(docs).select("k1", "k2", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    postings = words.select("k1", "k2", "words", F.posexplode("words").alias("pos", "term")).join(_small(anchors.select("term").distinct()), "term")
-    first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
-    return postings.select("term", "k1", "k2", "pos", first.alias("first"), F.slice("words", first + 1, F.lit(2 * n - 1)).alias("around")).sortWithinPartitions("term", "k1", "pos")
-
-
-def matches(index: DataFrame, anchors: DataFrame, near: float | None = None) -> DataFrame:
-    """k1, k2, item_id, start, end, exact: phrase matches, and with `near` also
-    places around which that share of a window's distinct terms stands."""
-    both = index.join(_small(anchors), "term")
-    start = F.col("pos") - F.col("off")
-    phrase = (start >= 0) & (F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.size("window")) == F.col("window"))
-    keep = phrase
-    if near is not None:
-        keep = phrase | (F.size(F.array_intersect("around", "window")) >= F.size(F.array_distinct("window")) * near)
-    return both.where(keep).select("k1", "k2", "item_id", start.alias("start"), (start + F.size("window")).alias("end"), phrase.alias("exact"))
+    anchors = _small(windows.select(F.col("terms")[0]["term"].alias("term")).distinct())
+    terms = _small(windows.select(F.explode("terms.term").alias("term")).distinct())
+    places = words.select("k1", "k2", "words", F.posexplode("words").alias("at", "term")).join(anchors, "term")
+    first = F.greatest(F.col("at") - (n - 1), F.lit(0))
+    around = places.select("k1", "k2", first.alias("first"), F.posexplode(F.slice("words", first + 1, F.col("at") - first + n)).alias("i", "term"))
+    postings = around.join(terms, "term").select("term", "k1", "k2", (F.col("first") + F.col("i")).alias("pos")).distinct()
+    return postings.sortWithinPartitions("term", "k1", "k2", "pos")
+
+
+def _starts(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """wid, k1, k2, start: the rarest terms' lists shifted by their offsets."""
+    rarest = windows.select("wid", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["off"].alias("off"))
+    return index.join(_small(rarest), "term").select("wid", "k1", "k2", (F.col("pos") - F.col("off")).alias("start"))
+
+
+def phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """k1, k2, wid, start, end: exact occurrences of windows."""
+    spark = index.sparkSession
+    starts = _starts(index, windows).where("start >= 0")
+    second = windows.where(F.size("terms") > 1).select("wid", F.col("terms")[1]["term"].alias("term"), F.col("terms")[1]["off"].alias("off"))
+    two = starts.join(_small(second), "wid").select("wid", "k1", "k2", "start", "term", (F.col("start") + F.col("off")).alias("pos"))
+    two, _ = stash(two.join(index, ["k1", "k2", "term", "pos"]).select("wid", "k1", "k2", "start"), spark, "two")
+    rest = windows.where(F.size("terms") > 2).select("wid", F.size("terms").alias("n"), F.explode(F.slice("terms", 3, N_MAX)).alias("t"))
+    wanted = two.join(_small(rest), "wid").select("wid", "k1", "k2", "start", "n", F.col("t.term").alias("term"), (F.col("start") + F.col("t.off")).alias("pos"))
+    all_lists = wanted.join(index, ["k1", "k2", "term", "pos"]).groupBy("wid", "k1", "k2", "start").agg(F.count("*").alias("met"), F.max("n").alias("n"))
+    of_size = windows.select("wid", F.size("terms").alias("n"))
+    found = [
+        all_lists.where("met = n - 2").select("wid", "k1", "k2", "start", "n"),
+        two.join(_small(of_size.where("n = 2")), "wid").select("wid", "k1", "k2", "start", "n"),
+        starts.join(_small(of_size.where("n = 1")), "wid").select("wid", "k1", "k2", "start", "n"),
+    ]
+    whole = found[0].unionByName(found[1]).unionByName(found[2])
+    return whole.select("k1", "k2", "wid", "start", (F.col("start") + F.col("n")).alias("end"))
+
+
+def nearby(index: DataFrame, windows: DataFrame, share: float, n: int = N) -> DataFrame:
+    """k1, k2, wid, at, near: places `at` of a window's rarest term within n - 1
+    words of which at least this share of the window's distinct terms stands, and
+    how many stand there."""
+    rarest = windows.select("wid", F.col("terms")[0]["term"].alias("term"))
+    places = index.join(_small(rarest), "term").select("wid", "k1", "k2", F.col("pos").alias("at"))
+    distinct = windows.select("wid", F.array_distinct("terms.term").alias("own"))
+    wanted = places.join(_small(distinct), "wid").select("wid", "k1", "k2", "at", F.size("own").alias("n"), F.explode("own").alias("term"))
+    within = wanted.join(index, ["k1", "k2", "term"]).where(F.abs(F.col("pos") - F.col("at")) < n)
+    counted = within.groupBy("wid", "k1", "k2", "at").agg(F.count_distinct("term").alias("near"), F.max("n").alias("n"))
+    return counted.where(F.col("near") >= F.col("n") * share).select("k1", "k2", "wid", "at", "near")
+
+
+def indexed(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows of the items (item_id, wid, window), their ranked terms, and
+    the index of docs."""
+    spark = docs.sparkSession
+    windows, _ = stash(windows_of(items, n).withColumn("wid", _wid("window")).distinct(), spark, "items")
+    terms = ranked(docs, windows)
+    index, _ = stash(build_index(docs, terms, n), spark, "index")
+    return windows, terms, index
 
 
 def hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """k1, k2, n_hit, items of the documents with at least one window."""
-    spark = docs.sparkSession
-    windows, at_windows = stash(windows_of(items, n).distinct(), spark, "windows")
-    anchors, _ = stash(anchored(docs, windows), spark, "anchors")
-    drop(spark, at_windows)
-    index, _ = stash(build_index(docs, anchors, n), spark, "index")
-    spans = matches(index, anchors).groupBy("k1", "k2").agg(
+    windows, terms, index = indexed(docs, items, n)
+    found = phrases(index, terms).join(_small(windows.select("item_id", "wid")), "wid")
+    spans = found.groupBy("k1", "k2").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.collect_set("item_id").alias("items")
     )
     zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("upto"))

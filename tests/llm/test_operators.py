@@ -205,6 +205,32 @@ def test_decontaminate(spark, docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
 
 
+def test_proximity(spark):
+    """Places of a window's rarest term near which most of its terms stand, against brute force."""
+    rng = random.Random(8)
+    made = [(i, text(rng, 150)) for i in range(12)]
+    own = decontaminate.words_of
+    item = " ".join(made[3][1].split()[20:33])
+    shuffled = item.split()
+    rng.shuffle(shuffled)
+    made += [(50, text(rng, 20) + " " + " ".join(shuffled) + " " + text(rng, 20)), (51, None)]
+    d, items = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    words = {r["doc_id"]: r["w"] for r in d.select("doc_id", own(F.col("text")).alias("w")).collect()}
+    windows, terms, index = decontaminate.indexed(d, items)
+    want = collections.Counter()
+    for w in terms.collect():
+        ranked = [t["term"] for t in w["terms"]]
+        count = {t: sum(x.count(t) for x in words.values()) for t in ranked}
+        assert ranked == sorted(ranked, key=lambda t: (count[t], t))
+        for x in words.values():
+            for at in (i for i, y in enumerate(x) if y == ranked[0]):
+                near = len(set(x[max(at - 12, 0) : at + 13]) & set(ranked))
+                if near >= 0.8 * len(set(ranked)):
+                    want[bytes(w["wid"]), at, near] += 1
+    got = collections.Counter((bytes(r["wid"]), r["at"], r["near"]) for r in decontaminate.nearby(index, terms, 0.8).collect())
+    assert got == want and len(want) >= 2
+
+
 def test_fingerprints(docs, rows):
     got = fingerprints.fingerprinted(docs).collect()
     ordered = sorted((r for r in rows if r[0] is not None and r[0] != 5), key=lambda r: -r[0])
