@@ -1,10 +1,12 @@
 """Personal data by weak supervision, in Spark SQL only.
 
-Spans of four base kinds follow fixed patterns. Weaker shapes (a national phone
-number, a spelled-out email address) are only candidates. Three labelers vote
--1, 0 or 1 on every span: the regex labeler (shape and checks), the gazetteer
-labeler (known top-level domains, area codes, issuers, address ranges) and the
-context labeler (words just before the span). Expectation-maximisation over the
+Spans of four base kinds follow fixed patterns. Weaker shapes are only candidates:
+a secret (a long run of mixed letters and digits, or what a credential's name is
+set to), a run of digits of a card's length that fails the card's checks, a
+national phone number, a spelled-out email address. Three labelers vote -1, 0 or 1
+on every span: the regex labeler (shape and checks), the gazetteer labeler (known
+top-level domains, area codes, issuers, address ranges, forms of keys) and the
+context labeler (words just before the span, credentials' names among them). Expectation-maximisation over the
 counts of vote patterns estimates each labeler's reliability for each kind, and
 the posteriors train the final span classifier, a logistic model over the votes
 and the span's form. It adds candidates it is sure of; base spans always stay.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +41,19 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL_PHONE = r"(?<![0-9+(.)-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 SPELLED_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z]{2,63})+"
+_KEY = "A-Za-z0-9+/_-"
+NAMED = r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+SECRET = (
+    rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_KEY}]{{20,}}+={{0,2}}"
+    rf"|(?i)(?<={NAMED}[\x22']?\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?)[^\s\x22']{{8,}}"
+)
 BASE = ("email", "ip", "card", "phone")
-WEAK = ("email_spelled", "phone_local")
+WEAK = ("email_spelled", "phone_local", "card_like", "secret")
+#: The base kind whose labelers judge a weaker kind.
+LIKE = {"email_spelled": "email", "phone_local": "phone", "card_like": "card"}
 SURE = 0.9
+#: Matches folded in one go.
+CHUNK = 64
 
 # Fixed values of the gazetteer and the context labeler.
 TOP_LEVEL = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "ch", "at", "it", "nl", "us", "ca")
@@ -49,8 +62,10 @@ CUES = {
     "ip": r"(?i)(?:\bip\b|host|server|address|adresse|login)\W{0,12}(?:\w+\W+){0,2}$",
     "card": r"(?i)(?:card|visa|credit|karte|carte|tarjeta)\W{0,12}(?:\w+\W+){0,2}$",
     "phone": r"(?i)(?:phone|\btel|call|fax|mobile|telefon|appel|llam)\W{0,12}(?:\w+\W+){0,2}$",
+    "secret": rf"(?i){NAMED}[\x22']?\s{{0,2}}[:=]\s{{0,2}}[\x22']?$",
 }
-AGAINST = r"(?i)(?:version|isbn|order|invoice|serial|article|artikel|page|line)\W{0,6}$"
+KEY_FORMS = r"^(?:(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|AKIA[0-9A-Z]{16}|gh[pousr]_|sk[-_]|xox[abp]-|AIza|eyJ)"
+AGAINST = r"(?i)(?:version|isbn|order|invoice|serial|article|artikel|page|line|commit|sha-?[0-9]*|md5|checksum|uuid)\W{0,6}$"
 
 
 def _found(text: Column, pattern: str, possible: Column) -> Column:
@@ -59,7 +74,6 @@ def _found(text: Column, pattern: str, possible: Column) -> Column:
     hit = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
     gaps = F.when(possible, F.split(text, pattern, -1)).otherwise(none)
     kind = "array<struct<start:int,end:int,word:string,before:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
@@ -67,8 +81,20 @@ def _found(text: Column, pattern: str, possible: Column) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), pair["word"].alias("word"), F.right(pair["gap"], F.lit(40)).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(gaps, hit, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    return F.aggregate(F.filter(pairs, lambda p: p["word"].isNotNull()), start, step, lambda acc: acc["out"])
+    # Chunks of matches are folded one by one, so no array grows with the text's matches.
+    pairs = F.filter(F.zip_with(gaps, hit, lambda g, w: F.struct(g.alias("gap"), w.alias("word"))), lambda p: p["word"].isNotNull())
+    n = F.size(pairs)
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK))))
+    chunks = F.coalesce(chunks, F.expr("cast(array() as array<array<struct<gap:string,word:string>>>)"))
+    long = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.length(p["word"])))
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    begins = F.aggregate(long, zero, lambda a, m: F.struct((a["at"] + m).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def fold(chunk: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+
+    return F.flatten(F.zip_with(chunks, begins, fold))
 
 
 def _digits(word: Column) -> Column:
@@ -83,6 +109,8 @@ def _valid(kind: str, word: Column) -> Column:
         return (n >= 16) & (n <= 19) & F.when((n >= 16) & (n <= 19), F.call_function("luhn_check", _digits(word))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(word)).between(8, 15)
+    if kind == "card_like":
+        return F.length(_digits(word)).between(13, 19) & ~_valid("card", word)
     return F.lit(True)
 
 
@@ -102,6 +130,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
         "phone": (PHONE, F.col("digit") & F.contains(F.col("text"), F.lit("+"))),
         "email_spelled": (SPELLED_EMAIL, F.col("spelled")),
         "phone_local": (LOCAL_PHONE, F.col("digit")),
+        "card_like": (CARD, F.col("digit") & F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){12}")),
+        "secret": (SECRET, F.col("text").rlike(rf"(?i)[0-9][a-z]|[a-z][0-9]|{NAMED}")),
     }
     found = with_text.select("doc_id", *[_found(F.col("text"), p, when).alias(k) for k, (p, when) in possible.items()])
     found = found.select("doc_id", *[F.filter(k, _passes(k)).alias(k) for k in possible])
@@ -111,12 +141,18 @@ def spans_of(docs: DataFrame) -> DataFrame:
 
 def votes(kind: str, span: Column) -> Column:
     """Votes of the labelers and the form of a span, as a struct of ints."""
-    base = {"email_spelled": "email", "phone_local": "phone"}.get(kind, kind)
+    base = LIKE.get(kind, kind)
     word, n = span["word"], F.length(_digits(span["word"]))
     shape = F.lit(1 if kind in BASE else 0)
     if base in ("card", "phone", "ip"):
         shape = F.when(F.length(F.regexp_replace(_digits(word), F.substr(_digits(word), F.lit(1), F.lit(1)), F.lit(""))) == 0, -1).otherwise(shape)
-    if base == "email":
+    if kind == "card_like":
+        shape = F.when(_digits(word).rlike("^(.)\\1*$") | (n >= 16), -1).otherwise(F.when(F.call_function("luhn_check", _digits(word)), 1).otherwise(-1))
+    if kind == "secret":
+        changes = F.regexp_count(word, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"))
+        shape = F.when(changes >= 4, 1).when(changes >= 2, 0).otherwise(-1)
+        known = word.rlike(KEY_FORMS)
+    elif base == "email":
         known = F.lower(F.regexp_extract(word, r"([A-Za-z]+)[\])]?$", 1)).isin(*TOP_LEVEL)
     elif base == "card":
         known = _digits(word).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)")
@@ -166,22 +202,25 @@ def reliabilities(counts: Iterable[tuple[str, tuple[int, ...], int]], rounds: in
     return share, {(k, v): posterior(k, v) for k, v, _ in counts}
 
 
-def train(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], posteriors: dict, rounds: int = 200, rate: float = 0.5) -> dict:
+def train(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], posteriors: dict, rounds: int = 1500, rate: float = 0.8) -> dict:
     """Weights of a logistic model over (kind), (kind, vote) and (form) marks,
-    fitted to the posteriors by gradient descent over the counts."""
-    weights: dict[tuple, float] = {}
-    total = sum(n for *_, n in rows) or 1
-    marked = [(marks(k, v, f), n / total, posteriors[k, v]) for k, v, f, n in rows]
+    fitted to the posteriors by gradient descent over the counts. Each kind
+    counts as much as any other, however many spans it has."""
+    total: dict[str, int] = {}
+    for k, _, _, n in rows:
+        total[k] = total.get(k, 0) + n
+    marked = [marks(k, v, f) for k, v, f, _ in rows]
+    number = {m: i for i, m in enumerate(sorted({x for own in marked for x in own}, key=str))}
+    x = np.zeros((len(rows), len(number)))
+    for i, own in enumerate(marked):
+        x[i, [number[m] for m in own]] = 1
+    share = np.array([n / total[k] / len(total) for k, _, _, n in rows])
+    target = np.array([posteriors[k, v] for k, v, _, _ in rows])
+    w = np.zeros(len(number))
     for _ in range(rounds):
-        gradient: dict[tuple, float] = {}
-        for m, n, target in marked:
-            z = sum(weights.get(x, 0.0) for x in m)
-            error = n * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - target)
-            for x in m:
-                gradient[x] = gradient.get(x, 0.0) + error
-        for x, g in gradient.items():
-            weights[x] = weights.get(x, 0.0) * (1 - 1e-4) - rate * g
-    return weights
+        guess = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w * (1 - 1e-4) - rate * (x.T @ (share * (guess - target)))
+    return {m: float(w[i]) for m, i in number.items()}
 
 
 def marks(kind: str, vote: tuple[int, ...], form: tuple[int, ...]) -> list[tuple]:
@@ -208,7 +247,7 @@ def detect(docs: DataFrame, sure: float = SURE, report: Callable[[dict], None] |
         seen = own if seen is None else seen.unionByName(own)
     rows = [(r["kind"], tuple(r["v"][n] for n in VOTES), tuple(r["v"][n] for n in FORM), r["count"]) for r in seen.collect()]
     if not any(k in WEAK for k, *_ in rows):
-        return spans
+        return spans  # nothing to judge
     counts: dict[tuple, int] = {}
     for k, v, _, n in rows:
         counts[k, v] = counts.get((k, v), 0) + n
@@ -233,9 +272,11 @@ def _listed(kinds: Iterable[str]) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4 over all documents. n_* count the base spans of each kind."""
+    """op4 over all documents. n_<kind> counts the spans of a kind, base kinds
+    first; n_spans counts all."""
     found = detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_listed(BASE), 256).alias("base_sha256"), _listed(BASE + WEAK).alias("spans"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in WEAK], sum(F.size(k) for k in BASE + WEAK).cast("long").alias("n_spans"),
     )

@@ -381,3 +381,18 @@ def test_pieces_shrink():
                 assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
     finally:
         tokens.MAX_PIECES = old
+
+
+def test_added_spans(spark):
+    """Secrets that the labelers agree on are added where they stand; digits that only look like a card are not."""
+    made = [(i, f"said the mist {i} times, token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" and then commit {hashlib.sha1(str(-i).encode()).hexdigest()[:12]} went") for i in range(40)]
+    made += [(100 + i, f"number {4111111111111112 + 10 * i} of the list, mail a{i}@site.example.com") for i in range(40)]
+    made += [(200, None), (201, "\U0001f600 password: hunter2hunter2 x"), (202, " ".join(f"+1 ({i:03d}) 555-{i:04d}x" for i in range(1000)))]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for d, t in made:
+        want = [m.span(1) for m in re.finditer('token = "([0-9a-f]{40})"', t or "")]
+        assert [(s["start"], s["end"]) for s in got[d]["secret"]][: len(want)] == want
+        assert len(got[d]["secret"]) == len(want) or d == 201
+        assert not got[d]["card_like"]
+        assert [(s["start"], s["end"]) for s in got[d]["phone"]] == [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t or "")]
+    assert len(got[202]["phone"]) == 1000
