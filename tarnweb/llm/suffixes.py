@@ -6,7 +6,9 @@ anchors in the same place, so a string can only occur again where its anchor
 does. Suffixes at anchors are sorted in runs, front-coded and dealt out by
 ranges, and each range is merged by a loser tree that never compares known
 prefixes again (:mod:`lcp_merge`). Anchors whose prefix with a neighbour is K
-bytes long are shared.
+bytes long are shared. A key that stands twice in one run is shared already: its
+places leave the run at once, and one of them, marked, stands for it in the
+merge, so a key comes to a range at most once a run, however common it is.
 
 Shared anchors then tell exactly which strings occur again. The strings of an
 anchor form cells by the anchor's offset in them. If all strings of a cell
@@ -38,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, read, ship, shared_dir, stash
+from .common import drop, in_slices, partitions, read, ship, shared_dir, stash
 from .lcp_merge import K, Run, merge, pack, ranges, sort_run
 
 WINDOW, CELL = 400, 128
-#: Anchors of a sorted run at most; texts that the range limits come from, and keys of each.
-RUN_ANCHORS, SPLITTER_TEXTS, SPLITTER_KEYS = 400_000, 512, 64
+#: Anchors of a sorted run at most; texts that the range limits come from (or a
+#: PARTITION_TEXTS-th of the ranges, if more), and keys of each.
+RUN_ANCHORS, SPLITTER_TEXTS, SPLITTER_KEYS, PARTITION_TEXTS = 400_000, 512, 64, 8
+#: Mark of a place whose key is known to be shared.
+GIVEN = 1 << 31
 U = np.uint64
 BASE = 0xD1342543DE82EF95
 MIX = U(0x9E3779B97F4A7C15)
@@ -134,9 +139,25 @@ def _runs(splitters: list[bytes]):
             k, r = np.concatenate(keys), np.concatenate(refs)
             order, shared = sort_run(k)
             k, r = k[order], r[order]
+            first = np.flatnonzero(shared < K) if len(shared) else np.zeros(0, np.int64)
+            counts = np.diff(np.concatenate([first, [len(k)]]))
+            again = np.repeat(counts > 1, counts)
+            own = r[again][np.argsort(r[again][:, 0], kind="stable")]
+            k, shared, r = k[first], shared[first], r[first]
+            r[counts > 1, 1] |= GIVEN
             cuts = ranges(k, splitters)
             out = [(i, pack(k[a:b], shared[a:b], r[a:b], texts)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["range", "block"])
+            begin = np.flatnonzero(np.concatenate([[True], own[1:, 0] != own[:-1, 0]])) if len(own) else np.zeros(0, np.int64)
+            given = [texts[i] for i in own[begin, 0]]
+            spread = [int.from_bytes(d[:4], "big") % (len(splitters) + 1) for d in given]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(own)]]), pa.int32()), pa.array(own[:, 1], pa.int32()))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in out] + spread, pa.int32()), pa.array([b for _, b in out] + [None] * len(given), pa.binary()),
+                    pa.array([None] * len(out) + given, pa.binary()), pa.concat_arrays([pa.nulls(len(out), pa.list_(pa.int32())), lists]),
+                ],
+                names=["range", "block", "digest", "places"],
+            )
 
         for b in batches:
             for digest, raw in zip(b.column("digest").to_pylist(), b.column("raw").to_pylist()):
@@ -157,34 +178,43 @@ def _runs(splitters: list[bytes]):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the blocks of each range; places of keys that stand twice or more."""
+    """Merge the blocks of each range; places of keys that stand twice or more.
+    Places that are known already pass through."""
+
+    def out(digests: list, places: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.list_(pa.int32()))], names=["digest", "places"])
+
     blocks: dict[int, list[bytes]] = {}
     for b in batches:
+        known = b.filter(b.column("block").is_null())
+        yield pa.RecordBatch.from_arrays([known.column("digest"), known.column("places")], names=["digest", "places"])
         for r, block in zip(b.column("range").to_pylist(), b.column("block").to_pylist()):
-            blocks.setdefault(r, []).append(block)
+            if block is not None:
+                blocks.setdefault(r, []).append(block)
     for r in sorted(blocks):
         runs = [Run(x) for x in sorted(blocks.pop(r))]
         digests: list[bytes] = []
-        places: list[int] = []
-        group: list[tuple[int, int, int]] = []
+        places: list[list[int]] = []
+        group: list[tuple[int, int]] = []
 
         def close() -> None:
-            if sum(c for *_, c in group) > 1:
-                for i, ref, count in group:
-                    own = runs[i]
-                    digests.extend(own.ids[t] for t in own.text[ref : ref + count])
-                    places.extend(own.place[ref : ref + count].tolist())
-
-        for shared, i, ref, count in merge(runs):
+            own = [(runs[i], ref, int(runs[i].place[ref])) for i, ref in group]
+            if len(own) > 1 or (own and own[0][2] & GIVEN):
+                for run, ref, place in own:
+                    if not place & GIVEN:
+                        digests.append(run.ids[run.text[ref]])
+                        places.append([place])
+
+        for shared, i, ref, _ in merge(runs):
             if shared < K:
                 close()
                 group = []
-            group.append((i, ref, count))
+            group.append((i, ref))
             if len(digests) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.int32())], names=["digest", "place"])
+                yield out(digests, places)
                 digests, places = [], []
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(places, pa.int32())], names=["digest", "place"])
+        yield out(digests, places)
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,52 +278,61 @@ def _digest(text) -> F.Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """digest, copies, raw of the distinct texts, bucketed by digest."""
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """digest, copies, raw of the distinct texts, bucketed by digest, and the
+    name of their table."""
     spark = docs.sparkSession
     raw = F.coalesce("text", F.lit(""))
     table = docs.select(_digest(raw).alias("digest"), raw.cast("binary").alias("raw")).groupBy("digest").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
     name = f"tarnweb_texts_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     table.write.bucketBy(partitions(spark), "digest").sortBy("digest").option("path", path).format("parquet").saveAsTable(name)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.table(name)
+    return spark.table(name), name
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """digest, n_bytes, n_removed, n_spans, kept_sha256, kept of each distinct
-    text of docs(text)."""
+def splitters_of(keys: list[bytes], n: int) -> list[bytes]:
+    """Up to n - 1 limits of ranges; all keys where they are fewer."""
+    keys = sorted(set(keys))
+    return keys if len(keys) < n else [keys[len(keys) * i // n] for i in range(1, n)]
+
+
+def repeated(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """digest, n_bytes, n_removed, n_spans, kept_sha256, kept (or the columns
+    asked for) of each distinct text of docs(text), from the shared folder."""
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    texts = _texts(docs)
+    texts, name = _texts(docs)
     long = texts.where(F.octet_length("raw") >= WINDOW)
-    # Only keys of K bytes reach the driver, at most SPLITTER_TEXTS * SPLITTER_KEYS.
-    picked = long.join(F.broadcast(long.select("digest").orderBy("digest").limit(SPLITTER_TEXTS)), "digest").select("raw")
-    keys = sorted({bytes(r["key"]) for r in picked.mapInArrow(_some_keys, "key binary").collect()}) if n > 1 else []
-    splitters = [keys[len(keys) * i // n] for i in range(1, n)] if len(keys) >= n else []
-    runs = long.select("digest", "raw").mapInArrow(_runs(splitters), "range int, block binary")
-    merged = runs.repartitionById(n, F.col("range")).mapInArrow(_shared, "digest binary, place int")
-    shared = merged.groupBy("digest").agg(F.collect_list("place").alias("places"))  # at most the anchors of a text
-    cells, at_cells = stash(texts.join(shared, "digest").select("digest", "raw", "places").mapInArrow(_cells, "digest binary, core long, whole long, first long, last long"), spark, "cells")
+    # Only keys of K bytes reach the driver, SPLITTER_KEYS a text at most.
+    some = max(SPLITTER_TEXTS, n // PARTITION_TEXTS)
+    picked = long.join(F.broadcast(long.select("digest").orderBy("digest").limit(some)), "digest").select("raw")
+    splitters = splitters_of([bytes(r["key"]) for r in picked.mapInArrow(in_slices(_some_keys), "key binary").collect()], n) if n > 1 else []
+    runs = long.select("digest", "raw").mapInArrow(in_slices(_runs(splitters)), "range int, block binary, digest binary, places array<int>")
+    merged = runs.repartitionById(n, F.col("range")).mapInArrow(in_slices(_shared), "digest binary, places array<int>")
+    shared = merged.groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"))  # at most the anchors of a text
+    cells, at_cells = stash(texts.join(shared, "digest").select("digest", "raw", "places").mapInArrow(in_slices(_cells), "digest binary, core long, whole long, first long, last long"), spark, "cells")
     wholes, at_wholes = stash(
         cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("digest", "first", "last")).alias("one")), spark, "wholes"
     )
     unsure = wholes.groupBy("core").agg(F.count("*").alias("wholes")).where("wholes > 1").select("core")
     all_of = cells.join(wholes.where("n > 1").select("core", "whole"), ["core", "whole"]).select("digest", "first", "last")
     compare = wholes.join(unsure, "core").select("one.*").groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("cells"))
-    strings, at_strings = stash(texts.join(compare, "digest").select("digest", "raw", "cells").mapInArrow(_strings, "digest binary, hash long, first long"), spark, "strings")
+    strings, at_strings = stash(texts.join(compare, "digest").select("digest", "raw", "cells").mapInArrow(in_slices(_strings), "digest binary, hash long, first long"), spark, "strings")
     twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     some_of = strings.join(twice, "hash").select("digest", "first", F.col("first").alias("last"))
     spans = all_of.unionByName(some_of).groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # at most the strings of a text
-    return texts.join(spans, "digest", "left").select("digest", "copies", "raw", "spans").mapInArrow(
-        _kept, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    found = texts.join(spans, "digest", "left").select("digest", "copies", "raw", "spans").mapInArrow(
+        in_slices(_kept), "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
+    out, _ = stash(found.select(*(columns or found.columns)), spark, "kept")
+    spark.sql(f"DROP TABLE {name}")  # its files are not the catalog's
+    drop(spark, f"{shared_dir(spark)}/{name}", at_cells, at_wholes, at_strings)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9 over all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found, _ = stash(repeated(docs).drop("kept"), spark, "kept")
+    found = repeated(docs, ["digest", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     return docs.select("doc_id", _digest(F.coalesce("text", F.lit(""))).alias("digest")).join(found, "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -316,8 +316,7 @@ def test_lcp_merge():
         assert shared == next((i for i in range(lcp_merge.K) if a[i] != b[i]), lcp_merge.K)
 
 
-def test_suffixes(docs, rows):
-    raw = [t.encode() for _, t in texts(rows)]
+def without_repeats(raw):
     seen = collections.Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
     want = collections.Counter()
     for b in raw:
@@ -327,8 +326,35 @@ def test_suffixes(docs, rows):
                 gone[i : i + 400] = b"\x01" * 400
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want[suffixes_digest(b), len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest(), kept] = 1
-    got = collections.Counter(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in suffixes.repeated(docs).collect())
-    assert got == want
+    return want
+
+
+def removed(docs):
+    return collections.Counter(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in suffixes.repeated(docs).collect())
+
+
+def test_suffixes(docs, rows):
+    assert removed(docs) == without_repeats([t.encode() for _, t in texts(rows)])
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("tarnweb_texts")]
+
+
+def test_suffixes_common_gram(spark, monkeypatch):
+    """A passage in every text, runs so small that most keys cross them, and more ranges than keys."""
+    rng = random.Random(13)
+    passage = text(rng, 8)[:40]
+    block = text(rng, 100)
+    made = [(i, text(rng, 90) + passage + (block if i % 3 == 0 else text(rng, 60)) + passage) for i in range(24)]
+    monkeypatch.setattr(suffixes, "RUN_ANCHORS", 20)
+    want = without_repeats([t.encode() for _, t in made])
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    assert removed(d) == want
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "150")
+        assert removed(d) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert suffixes.splitters_of([b"c", b"a", b"a"], 9) == [b"a", b"c"] and len(suffixes.splitters_of([bytes([i]) for i in range(99)], 7)) == 6
 
 
 def suffixes_digest(b):
