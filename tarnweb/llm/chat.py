@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship, stash
+from .common import in_slices, read, ship, stash
 
 VOCABULARY, LEARNED_ROLE = "byte_bpe_50k.json", "assistant"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -104,7 +104,7 @@ def _formatter(vocabulary: str, learned: str):
                 schema=_SCHEMA,
             )
 
-    return run
+    return in_slices(run)
 
 
 _SCHEMA = pa.schema(
@@ -142,7 +142,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What the formatted output holds, from its text, offsets and masks."""
-    return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(in_slices(_digests, rows=64), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "\\### Assistant: </turn> ok"

@@ -4,13 +4,15 @@ Trusted positives are labelled documents of quality 1; unlabelled web text is a
 sample of all documents. The class prior is estimated from how the two differ: a
 first model tells positives from unlabelled text, and over every upper tail of
 its score the share of unlabelled text over the share of positives bounds the
-prior from above; the least bound is taken. A linear model over features of the
+prior from above; the median bound over tails of half to nine tenths of the
+positives is taken. A linear model over features of the
 whole text then minimises the non-negative unbiased risk
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) with the
 logistic loss, so its output is a probability. Negative labels are never used.
 
 The fit takes at most POSITIVES + UNLABELLED documents, chosen by a hash of
-doc_id; scoring covers every document and never gathers anything.
+doc_id (of rows that share one, the text of least hash); that bounds the sample
+of the fit only. Scoring covers every document and never gathers anything.
 
 Defined cases: null and empty texts have all-zero features and get the score the
 model gives those; a document with several labels is a trusted positive only if
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import in_slices, read, ship
 
 #: Bounds of the sample the model is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -151,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rest = docs.select("doc_id").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).distinct()
     rest = rest.select("doc_id", F.lit(0).alias("positive")).orderBy(F.xxhash64(F.lit("u"), "doc_id"), "doc_id").limit(unlabelled)
     wanted = F.broadcast(some.unionByName(rest))  # at most positives + unlabelled ids
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select(place.alias("place"), "positive", "text").mapInArrow(_features, "place long, positive int, x array<double>")
-    got = sorted((r["positive"], r["place"], tuple(r["x"])) for r in rows.limit(2 * (positives + unlabelled)).collect())
+    one = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = one.select(place.alias("place"), "positive", "text").mapInArrow(in_slices(_features), "place long, positive int, x array<double>")
+    got = sorted((r["positive"], r["place"], tuple(r["x"])) for r in rows.collect())  # at most positives + unlabelled
     x = {y: np.array([r[2] for r in got if r[0] == y]).reshape(-1, len(NAMES)) for y in (0, 1)}
     return train(x[1], x[0])
 
@@ -169,7 +172,7 @@ def scorer(model: dict, column: str = "text", keep_from: float | None = None):
             else:
                 yield b.filter(pa.array(s >= keep_from))
 
-    return run
+    return in_slices(run)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -96,6 +96,35 @@ def test_quality(spark):
     assert 0.7 < model["prior"] < 0.95
 
 
+def test_quality_risk():
+    """The fit against plain gradient descent on the non-negative risk, written anew."""
+    rng = np.random.default_rng(4)
+    prior, n = 0.6, 1500
+    pos = rng.normal(1, 1, (n, 3))
+    unl = np.concatenate([rng.normal(1, 1, (int(n * prior), 3)), rng.normal(-1, 1, (n - int(n * prior), 3))])
+    pos, unl = (np.concatenate([x, np.ones((len(x), 1))], 1) for x in (pos, unl))
+
+    def risk(w, decay=1e-3):
+        loss = lambda z: np.log1p(np.exp(-z)).mean()
+        return prior * loss(pos @ w) + max(0.0, loss(-(unl @ w)) - prior * loss(-(pos @ w))) + decay / 2 * (w[:-1] ** 2).sum()
+
+    w = np.zeros(4)
+    for step in range(2000):
+        slope = np.array([(risk(w + e) - risk(w - e)) / 2e-5 for e in np.eye(4) * 1e-5])
+        w = w - 0.5 * slope
+    got = quality._fit(pos, unl, prior)
+    assert risk(got) <= risk(w) + 2e-3 and np.allclose(got, w, atol=0.15)
+
+
+def test_quality_repeated_ids(spark):
+    """Many rows under one doc_id do not grow the fit's sample, and reruns agree."""
+    rng = random.Random(6)
+    d = spark.createDataFrame([(i % 9, text(rng, 30)) for i in range(400)] + [(None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
+    a, b = (quality.fit(x, labels, positives=5, unlabelled=5) for x in (d, d.repartition(5)))
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+
+
 def test_quality_odd(docs, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     model = quality.fit(docs, none)
