@@ -45,7 +45,7 @@ _KEY = "A-Za-z0-9+/_-"
 NAMED = r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
 SECRET = (
     rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_KEY}]{{20,}}+={{0,2}}"
-    rf"|(?i)(?<={NAMED}[\x22']?\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?)[^\s\x22']{{8,}}"
+    rf"|(?<=[:=\x20\x22'])(?<=[:=]\x20{{0,2}}[\x22']?)(?<=(?i:{NAMED})[\x22']?\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?)[^\s\x22']{{8,}}"
 )
 BASE = ("email", "ip", "card", "phone")
 WEAK = ("email_spelled", "phone_local", "card_like", "secret")
@@ -68,12 +68,28 @@ KEY_FORMS = r"^(?:(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|AKIA[0-9A-Z]{16}|g
 AGAINST = r"(?i)(?:version|isbn|order|invoice|serial|article|artikel|page|line|commit|sha-?[0-9]*|md5|checksum|uuid)\W{0,6}$"
 
 
-def _found(text: Column, pattern: str, possible: Column) -> Column:
-    """Array of (start, end, word, before): all matches in order."""
+def _matches(text: Column, pattern: str, possible: Column) -> Column:
+    """Array of (gap, word): all matches in order, each with the text since the last."""
     none = F.expr("cast(array() as array<string>)")
     hit = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
     gaps = F.when(possible, F.split(text, pattern, -1)).otherwise(none)
+    return F.filter(F.zip_with(gaps, hit, lambda g, w: F.struct(g.alias("gap"), w.alias("word"))), lambda p: p["word"].isNotNull())
+
+
+def _chunks(pairs: str) -> Column:
+    """Matches in chunks, which are folded one by one, so that no array grows
+    with the matches of a text. pairs is a column: a loop must not compute it."""
+    n = F.size(pairs)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(n > 0, cut).otherwise(F.expr("cast(array() as array<array<struct<gap:string,word:string>>>)"))
+
+
+def _placed(chunks: str) -> Column:
+    """Array of (start, end, word, before) from a column of chunks."""
     kind = "array<struct<start:int,end:int,word:string,before:string>>"
+    long = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.length(p["word"])))
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    begins = F.aggregate(long, zero, lambda a, m: F.struct((a["at"] + m).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
@@ -81,18 +97,8 @@ def _found(text: Column, pattern: str, possible: Column) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), pair["word"].alias("word"), F.right(pair["gap"], F.lit(40)).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    # Chunks of matches are folded one by one, so no array grows with the text's matches.
-    pairs = F.filter(F.zip_with(gaps, hit, lambda g, w: F.struct(g.alias("gap"), w.alias("word"))), lambda p: p["word"].isNotNull())
-    n = F.size(pairs)
-    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK))))
-    chunks = F.coalesce(chunks, F.expr("cast(array() as array<array<struct<gap:string,word:string>>>)"))
-    long = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + F.length(p["gap"]) + F.length(p["word"])))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    begins = F.aggregate(long, zero, lambda a, m: F.struct((a["at"] + m).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-
     def fold(chunk: Column, at: Column) -> Column:
-        start = F.struct(at.alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
-        return F.aggregate(chunk, start, step, lambda acc: acc["out"])
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.expr(f"cast(array() as {kind})").alias("out")), step, lambda acc: acc["out"])
 
     return F.flatten(F.zip_with(chunks, begins, fold))
 
@@ -122,7 +128,8 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id and an array of (start, end, word, before) for each kind."""
     text = F.coalesce("text", F.lit(""))
     digit = text.rlike("[0-9]")
-    with_text = docs.select("doc_id", text.alias("text"), digit.alias("digit"), F.contains(text, F.lit("@")).alias("at"), text.rlike(r"(?i)[\[(]\x20?at\x20?[\])]").alias("spelled"))
+    named = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(rf"(?i){NAMED}[\x22']?\x20{{0,2}}[:=]")
+    with_text = docs.select("doc_id", text.alias("text"), digit.alias("digit"), named.alias("named"), F.contains(text, F.lit("@")).alias("at"), text.rlike(r"(?i)[\[(]\x20?at\x20?[\])]").alias("spelled"))
     possible = {
         "email": (EMAIL, F.col("at")),
         "ip": (IP, F.col("digit")),
@@ -131,9 +138,11 @@ def spans_of(docs: DataFrame) -> DataFrame:
         "email_spelled": (SPELLED_EMAIL, F.col("spelled")),
         "phone_local": (LOCAL_PHONE, F.col("digit")),
         "card_like": (CARD, F.col("digit") & F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){12}")),
-        "secret": (SECRET, F.col("text").rlike(rf"(?i)[0-9][a-z]|[a-z][0-9]|{NAMED}")),
+        "secret": (SECRET, (F.col("digit") & F.col("text").rlike("[0-9][A-Za-z]|[A-Za-z][0-9]")) | F.col("named")),
     }
-    found = with_text.select("doc_id", *[_found(F.col("text"), p, when).alias(k) for k, (p, when) in possible.items()])
+    found = with_text.select("doc_id", *[_matches(F.col("text"), p, when).alias(k) for k, (p, when) in possible.items()])
+    found = found.select("doc_id", *[_chunks(k).alias(k) for k in possible])
+    found = found.select("doc_id", *[_placed(k).alias(k) for k in possible])
     found = found.select("doc_id", *[F.filter(k, _passes(k)).alias(k) for k in possible])
     apart = [F.filter(k, lambda s: ~F.exists(F.concat(*BASE), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(k) for k in WEAK]
     return found.select("doc_id", *BASE, *apart)
