@@ -27,6 +27,9 @@ PLACES = {n: i for i, n in enumerate(ELEMENT_LABELS + GROUP_LABELS)}
 GROUP_MASK = sum(1 << PLACES[n] for n in GROUP_LABELS)
 ELEMENT_MASK = sum(1 << PLACES[n] for n in ELEMENT_LABELS)
 
+#: A decimal number as attributes write it: sign, fraction and exponent are optional.
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
 
 def flag(label: str, bits: str = "bits") -> Column:
     """Whether a label is set."""
@@ -61,7 +64,7 @@ def classify(located: DataFrame, site: SiteContext, options: AuditOptions = Audi
     internal = (clear & web & same) | (frame_like & there & same)
     related = F.col("related") if "related" in df.columns else F.lit(False)
     sized = lambda side: F.col(side).isNotNull() & ~_false(
-        F.when(F.trim(side) == "", F.lit(0.0)).otherwise(F.try_to_number(F.trim(side), F.lit("99999999D9999")).cast("double")) == F.col(f"natural_{side}")
+        F.when(F.trim(side) == "", F.lit(0.0)).when(F.trim(side).rlike(NUMBER), F.trim(side).cast("double")) == F.col(f"natural_{side}")
     )
     flags: dict[str, Column] = {
         "link": link,

@@ -45,12 +45,12 @@ class AuditOptions:
 
 #: Flags, matched anywhere in the flag text and in any case (fixed values).
 FLAGS = {
-    "ignore_robots": r"-ignoreRobots\.?Txt",
-    "ignore_banned": r"-ignoreBannedStr(?:ing)?s?",
-    "ignore_timer": r"-ignoreTime(?:r|out)",
-    "one_page": r"-(?:single|one|1)(?:Page|Pg)",
-    "disallow": r"-disallow\s*([\"'`])(.*?)\1",
-    "select": r"-(?:css-?)?select(?:or)?\s*([\"'`])(.*?)\1",
+    "ignore_robots": r"-ignoreRobots\.?Txt\b",
+    "ignore_banned": r"-ignoreBannedStr(?:ing)?s?\b",
+    "ignore_timer": r"-ignoreTime(?:r|out)\b",
+    "one_page": r"-(?:single|one|1)(?:Page|Pg)\b",
+    "disallow": r"-disallow\s*([\"'`])(.+?)\1",
+    "select": r"-(?:css)?[-_]?select(?:[oe]r)?\s*([\"'`])(.*?)\1",
 }
 
 

@@ -54,3 +54,10 @@ def test_helpers():
     assert cut_off("ab cd", 9, " ") == "ab cd" and cut_off("ab cd", 3, " ") == "ab" and cut_off("abcd", 2, " ") == ""
     assert preview("x\n" * 4000).endswith("\n...")
     assert file_name("www.a.test", "a|b&c", True) == "a.test_aorbandc_(INCOMPLETE).json"
+
+
+def test_flag_borders():
+    o = parse_flags("-onePagesomething -ignoreRobotsTxtX -disallow''")
+    assert o.recursive and not o.ignore_robots and o.disallow == ()
+    for name in ("-CSS_Select", "-_select", "-Selecter", "-css-selector"):
+        assert parse_flags(f"{name} 'nav'").selector == "nav"
