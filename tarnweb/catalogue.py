@@ -2,7 +2,9 @@
 
 Two sources of elements come from the pages table: E, the links in each page's
 html; and S, each page's URL as a link found on a start page of the most
-frequent host (ties by name), whose scheme is https.
+frequent host (ties by name), whose scheme is https. A third, D, is every page
+put on one site and given images, iframes, a link without href and links to
+other pages of the table, so that a crawl has a graph to follow.
 """
 
 from __future__ import annotations
@@ -116,6 +118,9 @@ FRAME_ROWS = [(0, "https://site.test/f", "t"), (1, "https://site.test/f", ""), (
 ROBOTS_TEXT = "# rules\nDisallow: /early\n\nUser-agent: bot\nDisallow: /bot\nSitemap: https://site.test/map.xml\nUser-agent: a\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nbroken line\nDisallow:\n"
 PATTERNS = ["/", "/*", "a", "$", "", "/about/", "/*.php$", "/a*$", "/x*y", "/private"]
 PATHS = ["/x/about/y", "/d/l.php", "/my.php.data/s.txt", "/a.php/b.php", "/a", "/b/a", "", "/private/open/1", "/x1y2"]
+CRAWL_SITE = SiteContext.of("https://crawl.test/p/0")
+CRAWL_ROBOTS = "User-agent: *\nDisallow: /*7$\nAllow: /p/27\nDisallow: /The\n"
+SITE_IMAGES = [("https://crawl.test/i/1.png", True, 10, 20), ("https://crawl.test/i/2.png", False, None, None), ("https://crawl.test/i/3.png", True, 11, 20)]
 FUZZY_CANDIDATES = list(labels.GROUP_LABELS + labels.ELEMENT_LABELS)
 
 
@@ -208,9 +213,65 @@ def _robots_parse(spark, sf_dir):
 
 
 def _robots_match(spark, sf_dir):
-    paths, patterns = _values(spark, "path string", [(p,) for p in PATHS]), _values(spark, "pattern string", [(p,) for p in PATTERNS])
+    """Crafted paths and those of all pages against each pattern."""
+    paths = _values(spark, "path string", [(p,) for p in PATHS]).unionByName(_pages(spark, sf_dir).select(urls.parts(F.col("url")).path.alias("path"))).distinct()
     pairs = paths.select("path", F.explode(F.array(*map(F.lit, PATTERNS))).alias("pattern"))
-    return pairs.join(patterns, "pattern", "left_semi").select("path", "pattern", robots.matches(F.col("path"), F.col("pattern")).alias("hit"))
+    return pairs.select("path", "pattern", robots.matches(F.col("path"), F.col("pattern")).alias("hit"))
+
+
+def _site_pages(spark, sf_dir):
+    """D: each page at its own place of one site, with more elements."""
+    k = F.col("page_id")
+    more = [
+        '<a href="/p/', 2 * k + 1, '">', '<img src="/i/', k % 7, '.png" alt="', F.when(k % 3 == 0, "").otherwise("x"), '" width="10"></a><a href="/p/', 2 * k + 2, '">r</a><a href="/p/', F.floor(k / 3), '">u</a><a name="n',
+        k, '">bare <b>', k, '</b></a><IFRAME src="http://frames.test/', k % 5, '"', F.when(k % 2 == 0, ' title="t"').otherwise(""), "></IFRAME>",
+    ]
+    html = F.concat("html", *[F.lit(m) if isinstance(m, str) else m.cast("string") for m in more])
+    return _pages(spark, sf_dir).select("page_id", F.concat(F.lit("https://crawl.test/p/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+def _site_fetches(spark, sf_dir):
+    k = F.col("page_id")
+    status = F.when(k % 13 == 5, 404).when(k % 17 == 3, 0).otherwise(200).cast("int")
+    kind = F.when(k % 19 == 7, F.lit("application/pdf")).when(k % 5 == 0, F.lit(None)).otherwise(F.lit("text/html"))
+    url = F.concat(F.lit("https://crawl.test/p/"), k.cast("string"))
+    return tables.fetches(_pages(spark, sf_dir).select(url.alias("url"), status.alias("status"), kind.cast("string").alias("content_type"), url.alias("response_url"), (k % 23 == 9).alias("timed_out")))
+
+
+def _crawl(recursive: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fetches = _site_fetches(spark, sf_dir)
+        pages = tables.parsed(_site_pages(spark, sf_dir), fetches)
+        options = AuditOptions(recursive=recursive, disallow=("/p/40$",))
+        rules = robots.rules(tables.robots(_values(spark, tables.ROBOTS, [("https://crawl.test", CRAWL_ROBOTS)])))
+        flagged = labels.classify(extract.located(extract.elements(pages, ("link",))), CRAWL_SITE, options)
+        reached = closures.crawl(flagged, rules, CRAWL_SITE, options, fetches)
+        return reached.select("group_name", F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"), *_flag("visited", "robotsDisallowed", "notFound", "redirects", "unknownContentType"))
+
+    return run
+
+
+def _site_elements(spark, sf_dir, kind):
+    found = extract.located(extract.elements(_site_pages(spark, sf_dir)))
+    facts = tables.images(_values(spark, tables.IMAGES, SITE_IMAGES))
+    return labels.classify(found, CRAWL_SITE, OPTIONS, facts).where(F.col("kind") == kind)
+
+
+def _extract_images(spark, sf_dir):
+    found = _site_elements(spark, sf_dir, "image")
+    return found.select("page_id", "node_pos", "url_attr", "url_prop", "alt", "width", *_flag("image", "internal", "noAltText", "visited", "unloaded", "improperSize"))
+
+
+def _extract_iframes(spark, sf_dir):
+    return _site_elements(spark, sf_dir, "iframe").select("page_id", "node_pos", "url_attr", "title", *_flag("iframe", "external", "emptyTitle", "http-httpsError"))
+
+
+def _index_complex(spark, sf_dir):
+    """Elements without a URL or with a foreign one, called by what they have:
+    a bare link by its outer HTML."""
+    flagged = labels.classify(extract.located(extract.elements(_site_pages(spark, sf_dir))), CRAWL_SITE, OPTIONS)
+    found = run_query(labels.records(flagged, labels.roll_up(flagged)), "null | iframe", labels.PLACES, labels.flag)
+    return index.index(found, "null | iframe").select("key", F.array_join("values", "\n").alias("vals"), F.size("values").cast("bigint").alias("n"))
 
 
 def _robots_allowed(spark, sf_dir):
@@ -274,6 +335,11 @@ QUERIES = {
     "robots_match": _robots_match,
     "robots_allowed": _robots_allowed,
     "crawl_closure": _crawl_closure,
+    "crawl_site": _crawl(True),
+    "crawl_one_page": _crawl(False),
+    "extract_images": _extract_images,
+    "extract_iframes": _extract_iframes,
+    "index_complex": _index_complex,
     "fuzzy_suggest": _fuzzy_suggest,
     "preview_truncate": _preview,
     "css_select": _css_select,
@@ -295,6 +361,27 @@ e AS (SELECT page_id, url, node_pos, url_attr, regexp_extract(url, '^[a-z]+://[^
   lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7E]|["#<>?`{}^]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') ELSE c END), '') AS url_prop FROM e1)"""
 
 
+_D = """d AS (SELECT page_id, 'https://crawl.test/p/' || page_id AS url, html || '<a href="/p/' || (2 * page_id + 1) || '">' || '<img src="/i/' || (page_id % 7) || '.png" alt="' || CASE WHEN page_id % 3 = 0 THEN '' ELSE 'x' END
+  || '" width="10"></a><a href="/p/' || (2 * page_id + 2) || '">r</a><a href="/p/' || (page_id // 3) || '">u</a><a name="n' || page_id || '">bare <b>' || page_id || '</b></a><IFRAME src="http://frames.test/' || (page_id % 5) || '"'
+  || CASE WHEN page_id % 2 = 0 THEN ' title="t"' ELSE '' END || '></IFRAME>' AS html FROM pages)"""
+
+
+def _crawl_sql(recursive: bool) -> str:
+    """Reached by rounds: a page's links are followed if its fetch brought HTML."""
+    return rf"""WITH RECURSIVE {_D},
+      o AS (SELECT 'https://crawl.test/p/' || page_id AS url, CASE WHEN page_id % 13 = 5 THEN 404 WHEN page_id % 17 = 3 THEN 0 ELSE 200 END AS status, page_id % 19 = 7 AS pdf, page_id % 19 <> 7 AND page_id % 5 = 0 AS untyped, page_id % 23 = 9 AS late FROM pages),
+      {_E.replace("FROM pages", "FROM d")},
+      l AS (SELECT DISTINCT e.url AS src, e.url_prop AS dst, substr(e.url_prop, length('https://crawl.test') + 1) AS path FROM e JOIN o ON o.url = e.url WHERE e.url_attr <> '' AND o.status = 200 AND NOT o.late AND NOT o.pdf),
+      m AS MATERIALIZED (SELECT src, dst, contains(path, '/p/27') OR NOT (contains(path, '/The') OR regexp_matches(path, '^[^7]*/[^7]*7$') OR path = '/p/40') AS may FROM l),
+      r(node, depth) AS (SELECT 'https://crawl.test/p/0', 0 UNION SELECT m.dst, r.depth + 1 FROM r JOIN m ON m.src = r.node WHERE m.may AND r.depth < {40 if recursive else 1}),
+      v AS (SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1),
+      f AS (SELECT DISTINCT m.dst AS node FROM m JOIN v ON v.node = m.src WHERE NOT m.may AND v.depth < {40 if recursive else 1})
+      SELECT coalesce(v.node, f.node) AS group_name, coalesce(v.depth, -1)::INT AS depth, v.node IS NOT NULL AS is_visited, f.node IS NOT NULL AS is_robotsdisallowed,
+        coalesce(v.node IS NOT NULL AND o.status = 404 AND NOT o.pdf AND NOT o.late, false) AS is_notfound, coalesce(v.node IS NOT NULL AND o.status = 0 AND NOT o.pdf AND NOT o.late, false) AS is_redirects,
+        coalesce(v.node IS NOT NULL AND (o.pdf OR o.untyped), false) AS is_unknowncontenttype
+      FROM v FULL JOIN f ON v.node = f.node LEFT JOIN o ON o.url = v.node"""
+
+
 def _select_s(columns: str, where: str = "true") -> str:
     return f"WITH {_S} SELECT {columns} FROM s WHERE {where}"
 
@@ -369,6 +456,25 @@ SQL = {
       FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""",
     "crawl_closure": """WITH RECURSIVE n AS (SELECT count(*) AS k FROM pages), r(page_id, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0
       UNION SELECT (r.page_id * 7 + 1) % n.k, depth + 1 FROM r, n WHERE depth < n.k) SELECT page_id, min(depth)::INT AS depth FROM r GROUP BY 1""",
+    "crawl_site": _crawl_sql(True),
+    "crawl_one_page": _crawl_sql(False),
+    "extract_images": f"""WITH {_D}, t AS (SELECT page_id, regexp_extract_all(html, '(?i)<img\\s[^>]*>') AS tags FROM d), x AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::INT - 1 AS node_pos FROM t),
+      y AS (SELECT page_id, node_pos, regexp_extract(tag, 'src="([^"]*)"', 1) AS url_attr, regexp_extract(tag, 'alt="([^"]*)"', 1) AS alt, regexp_extract(tag, 'width="([^"]*)"', 1) AS width FROM x),
+      i(src, loaded, nw, nh) AS (VALUES {_sql_values(SITE_IMAGES)})
+      SELECT page_id, node_pos, url_attr, 'https://crawl.test' || url_attr AS url_prop, alt, width, true AS is_image, true AS is_internal, alt = '' AS is_noalttext, loaded IS NOT NULL AS is_visited,
+        coalesce(NOT loaded, false) AS is_unloaded, coalesce(loaded AND width::INT <> nw, false) AS is_impropersize FROM y LEFT JOIN i ON 'https://crawl.test' || url_attr = src""",
+    "extract_iframes": f"""WITH {_D}, t AS (SELECT page_id, regexp_extract_all(html, '(?i)<iframe\\s[^>]*>') AS tags FROM d), x AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::INT - 1 AS node_pos FROM t)
+      SELECT page_id, node_pos, regexp_extract(tag, 'src="([^"]*)"', 1) AS url_attr, CASE WHEN contains(tag, 'title=') THEN regexp_extract(tag, 'title="([^"]*)"', 1) END AS title,
+        true AS is_iframe, true AS is_external, NOT contains(tag, 'title=') AS is_emptytitle, true AS is_http_httpserror FROM x""",
+    "index_complex": f"""WITH {_D} SELECT url AS key, regexp_extract(html, '(?i)<iframe src="([^"]*)"', 1) || chr(10) || regexp_extract(html, '<a name=.*?</a>') AS vals, 2::BIGINT AS n FROM d""",
+    "robots_match": f"""WITH p AS (SELECT unnest([{', '.join("'" + p + "'" for p in PATHS)}]) AS path UNION SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) FROM pages), q AS (SELECT unnest([{', '.join("'" + p + "'" for p in PATTERNS)}]) AS pattern),
+      b AS (SELECT path, pattern, ends_with(pattern, '$') AS fixed, regexp_replace(regexp_replace(pattern, '\\$$', ''), '\\*+$', '') AS body FROM p, q),
+      e AS (SELECT *, '(?s)^.*?' || replace(regexp_escape(body), '\\*', '.*?') AS re FROM b)
+      SELECT path, pattern, length(body) <= 1 OR (regexp_matches(path, re) AND (NOT fixed OR length(regexp_extract(path, re)) = length(path))) AS hit FROM e""",
+    "css_select": r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<script[^>]*>).*?</script>', '\1', 'g') AS html FROM pages),
+      t AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)^.*?</nav>'), '<[a-z][^>]*>') AS tags FROM c),
+      x AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::INT - 1 AS node_pos FROM t)
+      SELECT page_id, node_pos, replace(replace(replace(replace(replace(regexp_extract(tag, 'href="([^"]*)"', 1), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href FROM x WHERE tag LIKE '<a href="/%'""",
     "fuzzy_suggest": "SELECT * FROM (VALUES %s) AS t(suggestion, insertions)" % ", ".join(f"('{n}', {len(n) - 3})" for n in FUZZY_CANDIDATES if re.search("a.*l.*t", n.lower())),
     "preview_truncate": """SELECT page_id, CASE WHEN length(html) > 80 THEN substr(html, 1, 80) || '...' ELSE html END AS short,
       length(CASE WHEN length(html) < 300 THEN html WHEN contains(substr(html, 1, 301), ' ') THEN regexp_replace(substr(html, 1, 301), '(?s) [^ ]*$', '') ELSE '' END)::BIGINT AS n_cut FROM pages""",

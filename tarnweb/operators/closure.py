@@ -1,48 +1,59 @@
 """Crawl closure: pages reached over allowed same-site links.
 
 Each round joins the frontier to the edges of its pages, drops what was seen
-(anti-join) and writes the new frontier, so plans stay short. The number of
-rounds is the depth of the site, not its size.
+(anti-join) and writes the new frontier only, so plans stay short and nothing is
+written twice but for a merge of the frontiers every MERGED rounds. The number
+of rounds is the depth of the site, not its size.
 """
 
 from __future__ import annotations
 
 import itertools
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..plans.options import AuditOptions, SiteContext
-from .labels import flag, packed
+from ..sources.tables import StartPage
+from .labels import fetch_flags, flag, packed
+
+MERGED = 32
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or f"file://{tempfile.mkdtemp()}")
     return df.checkpoint()
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth for everything reached from seeds(node) over edges(src, dst),
     each node at its least depth; with max_depth, only up to that depth."""
-    seen = _checkpointed(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    frontier = _checkpointed(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    seen = [frontier]
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).where("node is not null").distinct()
-        frontier = _checkpointed(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        known = reduce(DataFrame.unionByName, seen)
+        frontier = _checkpointed(new.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = _checkpointed(seen.unionByName(frontier))
-    return seen
+        seen = [*seen, frontier] if len(seen) < MERGED else [_checkpointed(known.unionByName(frontier))]
+    return reduce(DataFrame.unionByName, seen)
 
 
-def crawl(flagged: DataFrame, pages: DataFrame, rules: DataFrame, site: SiteContext, options: AuditOptions = AuditOptions()) -> DataFrame:
-    """group_name, depth and bits (visited, robotsDisallowed) of the link targets
-    reached from the start page. Pages of response status other than 200 should be left
-    out of `pages`; they are reached but have no links."""
+def crawl(flagged: DataFrame, rules: DataFrame, site: SiteContext, options: AuditOptions = AuditOptions(), fetches: DataFrame | None = None) -> DataFrame:
+    """group_name, depth and bits (visited, robotsDisallowed and, with fetches,
+    the outcome of each visit) of the link targets reached from the start page.
+    flagged has the elements of parsed pages (tables.parsed): others are reached
+    but have no links. Targets on another port of the host are neither visited
+    nor refused. Refused targets count where a reached page links to them."""
     from .robots import allowed, path_of
 
     links = flagged.where((F.col("kind") == "link") & flag("internal") & (F.col("url_scheme") == site.scheme))
@@ -55,10 +66,21 @@ def crawl(flagged: DataFrame, pages: DataFrame, rules: DataFrame, site: SiteCont
     policy = own.agg(F.coalesce(F.flatten(F.collect_list("allow")), none).alias("allow"), F.concat(F.coalesce(F.flatten(F.collect_list("disallow")), none), user).alias("disallow"))
     # The policy is one row for the site, joined by a constant key.
     decided = links.withColumn("_one", F.lit(1)).join(F.broadcast(policy.withColumn("_one", F.lit(1))), "_one")
-    may = decided.withColumn("may", F.lit(True) if options.ignore_robots and not options.disallow else allowed(path_of(F.col("url_prop"), site.origin), F.col("allow"), F.col("disallow")))
-    edges = may.where("may").select("src", "dst").distinct()
-    start = flagged.sparkSession.range(1).select(urls.without_fragment(F.lit(site.start_page)).alias("node"))
-    reached = closure(edges, start, options.max_depth if options.recursive else 1)
-    refused = may.where("not may").select(F.col("dst").alias("group_name")).distinct().withColumn("refused", F.lit(True))
+    path = path_of(F.col("url_prop"), site.origin)
+    may = decided.where(path.isNotNull()).withColumn("may", F.lit(True) if options.ignore_robots and not options.disallow else allowed(path, F.col("allow"), F.col("disallow")))
+    # Pages are read once: rounds join the decided links, not the pages.
+    may = _checkpointed(may.select("src", "dst", "may").distinct())
+    edges = may.where("may").select("src", "dst")
+    start = StartPage(site.start_page).row(flagged.sparkSession).select(urls.without_fragment(F.col("url")).alias("node"))
+    limit = options.max_depth if options.recursive else 1
+    reached = closure(edges, start, limit)
+    read = reached if limit is None else reached.where(F.col("depth") < limit)
+    refused = may.where("not may").join(read, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("group_name")).distinct().withColumn("refused", F.lit(True))
     out = reached.select(F.col("node").alias("group_name"), "depth").join(refused, "group_name", "full")
-    return out.select("group_name", "depth", packed({"visited": F.col("depth").isNotNull(), "robotsDisallowed": F.col("refused")}).alias("bits"))
+    out = out.select("group_name", "depth", packed({"visited": F.col("depth").isNotNull(), "robotsDisallowed": F.col("refused")}).alias("bits"))
+    if fetches is None:
+        return out
+    outcome = fetch_flags(fetches).groupBy("group_name").agg(F.bit_or("bits").alias("more"))
+    both = out.join(outcome, "group_name", "left")
+    more = F.when(F.col("depth").isNotNull(), F.coalesce("more", F.lit(0))).otherwise(F.lit(0))
+    return both.select("group_name", "depth", F.col("bits").bitwiseOR(more.cast("long")).alias("bits"))

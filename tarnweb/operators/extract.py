@@ -1,7 +1,7 @@
 """Elements of pages: links, images, iframes, selected elements, start page.
 
-The fast path finds start tags with one regular expression inside generated
-code; html is dropped in the same stage. Comments and scripts are blanked first.
+The fast path finds elements of all kinds with one regular expression and one
+scan; html is dropped in the same stage. Comments and scripts are blanked first.
 Selectors need a tree and run in Arrow batches (:mod:`.selectors`).
 """
 
@@ -13,17 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import truncated_markup
+from ..functions.text import MARKUP_CHARS, truncated_markup
 from ..plans.options import SiteContext
 
 TAGS = {"image": "img", "iframe": "iframe", "link": "a"}
 ORDER = {"image": 0, "iframe": 1, "selected": 2, "link": 3}
 ATTRIBUTES = ("href", "src", "alt", "title", "width", "height")
+#: Class of blocks of related links (fixed value).
+RELATED = "field-name-field-related-links"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
-def start_tags(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(html, HIDDEN, " "), F.lit(rf"(?is)<{tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+def outer_pattern(tags: tuple[str, ...]) -> str:
+    """Group 1 is an element from its start tag on, with as much of its content
+    as is ever shown. Only the start tag is passed over, so elements inside
+    others are found too."""
+    attrs = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+    inside = {"a": r"</?a[\s/>]", "iframe": r"</iframe[\s/>]"}
+    wholes = [rf"<{t}{attrs}" + (rf"(?:(?!{inside[t]}).){{0,{MARKUP_CHARS + 1}}}+(?:</{t}\s*>)?" if t in inside else "") for t in tags]
+    return rf"(?is)(?=({'|'.join(wholes)}))<(?:{'|'.join(tags)}){attrs}"
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -39,14 +47,31 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def elements(pages: DataFrame, kinds: tuple[str, ...] = ("image", "iframe", "link")) -> DataFrame:
-    """page_id, document, kind, node_pos, markup and the attributes of every
-    element of the kinds asked for."""
-    found = []
-    for kind in kinds:
-        tags = pages.select("page_id", F.col("url").alias("document"), F.posexplode(start_tags(F.col("html"), TAGS[kind])).alias("node_pos", "markup"))
-        found.append(tags.withColumn("kind", F.lit(kind)))
-    out = reduce(DataFrame.unionByName, found)
-    return out.select("page_id", "document", "kind", "node_pos", "markup", *[attribute(F.col("markup"), a).alias(a) for a in ATTRIBUTES])
+    """page_id, document, kind, node_pos (place among the page's elements of the
+    kind), markup and the attributes of every element of the kinds asked for.
+    markup is the outer HTML, cut beyond what is shown of it."""
+    tags = tuple(TAGS[k] for k in kinds)
+    pages = pages.select("page_id", F.col("url").alias("document"), F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(outer_pattern(tags)), F.lit(1)).alias("_all"))
+    of_kind = lambda k: F.filter("_all", lambda m: m.rlike(rf"(?i)^<{TAGS[k]}[\s/>]"))
+    numbered = lambda k: F.transform(of_kind(k), lambda m, i: F.struct(F.lit(k).alias("kind"), i.cast("int").alias("node_pos"), m.alias("markup")))
+    out = pages.select("page_id", "document", F.inline(F.concat(*map(numbered, kinds))))
+    return out.select("page_id", "document", "kind", "node_pos", _closed(F.col("kind"), F.col("markup")).alias("markup"), *[attribute(F.col("markup"), a).alias(a) for a in ATTRIBUTES])
+
+
+def _closed(kind: Column, markup: Column) -> Column:
+    """Markup with the end tag that its page left out."""
+    ends = {"link": "a", "iframe": "iframe"}
+    return reduce(lambda m, k: F.when((kind == k) & ~markup.rlike(rf"(?i)</{ends[k]}\s*>$"), F.concat(markup, F.lit(f"</{ends[k]}>"))).otherwise(m), ends, markup)
+
+
+def with_related(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds `related`: whether a link lies in a block of related links. Trees are
+    built only of pages that name such a block."""
+    from .selectors import select_places
+
+    inside = select_places(pages.where(F.col("html").contains(RELATED)), f".{RELATED} a").where("tag = 'a'")
+    inside = inside.select("page_id", F.lit("link").alias("kind"), F.col("tag_pos").alias("node_pos"), F.lit(True).alias("related")).distinct()
+    return found.join(inside, ["page_id", "kind", "node_pos"], "left").select(*found.columns, F.coalesce("related", F.lit(False)).alias("related"))
 
 
 def start_page(site: SiteContext, like: DataFrame) -> DataFrame:

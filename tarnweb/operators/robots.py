@@ -61,5 +61,5 @@ def allowed(path: Column, allow: Column, disallow: Column) -> Column:
 
 
 def path_of(url: Column, origin: str) -> Column:
-    """A URL of the site without its origin."""
-    return F.substr(url, F.lit(len(origin) + 1))
+    """A URL of the site without its origin; NULL for a URL of another one."""
+    return F.when(F.substring(F.concat(url, F.lit("/")), 1, len(origin) + 1).isin(*[origin + c for c in "/?#"]), F.substr(url, F.lit(len(origin) + 1)))

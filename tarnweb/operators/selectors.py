@@ -1,7 +1,8 @@
 """CSS selectors over parsed pages, in Arrow batches.
 
-Supported: type, *, #id, .class, [a], [a=v], ^= $= *=, compounds, descendant,
-child and comma. Anything else raises.
+Supported: type, *, #id, .class, [a], [a=v], ^= $= *= ~= |=, compounds,
+:not(...), :nth-child, :first-child, :last-child, :only-child, descendant, child,
+both kinds of sibling, and comma. Anything else raises.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame
 from ..workers import ship
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SIMPLE = re.compile(r"""\*|([A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
+SIMPLE = re.compile(r"""\*|([A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^$*~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]|:([a-z-]+)(?:\(((?:[^()]|\([^()]*\))*)\))?""")
+COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+STEP = re.compile(r"([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+)")
 
 
 @dataclass
@@ -27,11 +30,22 @@ class Node:
     attrs: dict[str, str]
     parent: Node | None = None
     content: list = field(default_factory=list)
+    children: list[Node] = field(default_factory=list)
+    place: int = 0
+    tag_pos: int = 0
 
     def markup(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        inner = "".join(c if isinstance(c, str) else c.markup() for c in self.content)
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inner}</{self.tag}>")
+        out, todo = [], [self]
+        while todo:
+            at = todo.pop()
+            if isinstance(at, str):
+                out.append(at)
+                continue
+            attrs = "".join(f' {k}="{escape(v)}"' for k, v in at.attrs.items())
+            out.append(f"<{at.tag}{attrs}>")
+            if at.tag not in VOID:
+                todo += [f"</{at.tag}>", *reversed(at.content)]
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -39,12 +53,15 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.root = self.here = Node("", {})
         self.nodes: list[Node] = []
+        self.tags: dict[str, int] = {}
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.here)
+        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.here, place=len(self.here.children), tag_pos=self.tags.get(tag, 0))
+        self.tags[tag] = node.tag_pos + 1
         self.here.content.append(node)
+        self.here.children.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.here = node
@@ -71,28 +88,50 @@ class _Tree(HTMLParser):
         self.here.content.append(f"&#{name};")
 
 
+def _nth(text: str) -> tuple[int, int]:
+    """(a, b) of an+b."""
+    text = {"odd": "2n+1", "even": "2n"}.get(text.strip().lower(), text.strip().lower())
+    m = STEP.fullmatch(text)
+    if not m:
+        raise ValueError(f"unsupported step: {text!r}")
+    a, sign, b, only = m.groups()
+    if only:
+        return 0, int(only)
+    return int(a + "1" if a in ("", "+", "-") else a), int((sign or "+") + (b or "0"))
+
+
+def _pseudo(name: str, argument: str | None) -> tuple:
+    if name == "not" and argument:
+        return ("not", compile_selector(argument))
+    if name == "nth-child" and argument:
+        return ("nth", *_nth(argument))
+    if name in ("first-child", "last-child", "only-child") and argument is None:
+        return (name,)
+    raise ValueError(f"unsupported selector: :{name}")
+
+
 def compile_selector(text: str) -> list[list[tuple[str, list[tuple]]]]:
     """Alternatives; each a list of (combinator, tests), right-most last."""
     out = []
-    for part in re.split(r",(?![^\[]*\])", text):
+    for part in re.split(r",(?![^\[]*\])(?![^(]*\))", text):
         part, chain, at, combinator = part.strip(), [], 0, " "
         if not part:
             raise ValueError(f"unsupported selector: {text!r}")
         while at < len(part):
             tests = []
             while at < len(part) and (m := SIMPLE.match(part, at)):
-                tag, ident, cls, name, op, *values = m.groups()
+                tag, ident, cls, name, op, *values, pseudo, argument = m.groups()
                 value = next((v for v in values if v is not None), None)
-                tests.append(("tag", tag.lower()) if tag else ("attr", "id", "=", ident) if ident else ("class", cls) if cls else ("attr", name.lower(), op, value) if name else ("any",))
+                tests.append(("tag", tag.lower()) if tag else ("attr", "id", "=", ident) if ident else ("class", cls) if cls else ("attr", name.lower(), op, value) if name else _pseudo(pseudo, argument) if pseudo else ("any",))
                 at = m.end()
             if not tests:
                 raise ValueError(f"unsupported selector: {text!r}")
             chain.append((combinator, tests))
-            gap = re.compile(r"\s*>\s*|\s+").match(part, at)
+            gap = COMBINATOR.match(part, at)
             if at < len(part):
                 if not gap or gap.end() == len(part):
                     raise ValueError(f"unsupported selector: {text!r}")
-                combinator, at = ">" if ">" in gap[0] else " ", gap.end()
+                combinator, at = gap[1] or " ", gap.end()
         out.append(chain)
     return out
 
@@ -108,8 +147,23 @@ def _passes(node: Node, tests: list[tuple]) -> bool:
             have = node.attrs.get(name)
             if have is None or (op == "=" and have != value):
                 return False
+            if op == "~=" and (not value or value not in have.split()):
+                return False
+            if op == "|=" and have != value and not have.startswith(f"{value}-"):
+                return False
             if op in ("^=", "$=", "*=") and not (value and {"^=": have.startswith, "$=": have.endswith, "*=": have.__contains__}[op](value)):
                 return False
+        if kind == "not" and any(selects(c, node) for c in rest[0]):
+            return False
+        if kind == "nth":
+            a, b = rest
+            far = node.place + 1 - b
+            if (far != 0) if a == 0 else (far % a != 0 or far // a < 0):
+                return False
+        if kind in ("first-child", "only-child") and node.place != 0:
+            return False
+        if kind in ("last-child", "only-child") and node.place != len(node.parent.children) - 1:
+            return False
     return True
 
 
@@ -119,6 +173,9 @@ def selects(chain: list[tuple[str, list[tuple]]], node: Node) -> bool:
         return False
     if len(chain) == 1:
         return True
+    if combinator in "+~":
+        before = node.parent.children[: node.place]
+        return any(selects(chain[:-1], n) for n in (before[-1:] if combinator == "+" else reversed(before)))
     up = node.parent
     while up and up.tag:
         if selects(chain[:-1], up):
@@ -130,24 +187,38 @@ def selects(chain: list[tuple[str, list[tuple]]], node: Node) -> bool:
 
 
 COLUMNS = ("href", "src", "alt", "title", "width", "height")
-SCHEMA = "page_id bigint, document string, kind string, node_pos int, markup string, " + ", ".join(f"{c} string" for c in COLUMNS)
+KINDS = {
+    "page_id": pa.int64(), "document": pa.string(), "kind": pa.string(), "node_pos": pa.int32(), "markup": pa.string(), **{c: pa.string() for c in COLUMNS},
+    "tag": pa.string(), "tag_pos": pa.int32(),
+}
+DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}
 
 
-def select_elements(pages: DataFrame, selector: str) -> DataFrame:
-    """Elements of pages(page_id, url, html) that a selector matches."""
+def _selected(pages: DataFrame, selector: str, wanted: tuple[str, ...]) -> DataFrame:
     compile_selector(selector)
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains = compile_selector(selector)
         for b in batches:
-            out: list[tuple] = []
+            out: dict[str, list] = {n: [] for n in wanted}
             for page, url, html in zip(*[b.column(n).to_pylist() for n in ("page_id", "url", "html")]):
                 for i, node in enumerate(_Tree(html or "").nodes):
                     if any(selects(c, node) for c in chains):
-                        out.append((page, url, "selected", i, node.markup(), *[node.attrs.get(c) for c in COLUMNS]))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.string()] * (1 + len(COLUMNS))]
-            names = ["page_id", "document", "kind", "node_pos", "markup", *COLUMNS]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                        values = {"page_id": page, "document": url, "kind": "selected", "node_pos": i, "tag": node.tag, "tag_pos": node.tag_pos}
+                        for n in wanted:
+                            out[n].append(values[n] if n in values else node.markup() if n == "markup" else node.attrs.get(n))
+            yield pa.RecordBatch.from_arrays([pa.array(v, KINDS[n]) for n, v in out.items()], names=list(out))
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, ", ".join(f"{n} {DDL[KINDS[n]]}" for n in wanted))
+
+
+def select_elements(pages: DataFrame, selector: str) -> DataFrame:
+    """Elements of pages(page_id, url, html) that a selector matches."""
+    return _selected(pages, selector, ("page_id", "document", "kind", "node_pos", "markup", *COLUMNS))
+
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+def select_places(pages: DataFrame, selector: str) -> DataFrame:
+    """page_id, tag and tag_pos (place among the page's elements of that tag) of
+    the elements that a selector matches."""
+    return _selected(pages, selector, ("page_id", "tag", "tag_pos"))

@@ -1,11 +1,12 @@
-"""JSON output of an index, its preview and its file name."""
+"""JSON output of an index, its preview, its file name and facts of the run."""
 
 from __future__ import annotations
 
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import preview
 
@@ -31,6 +32,12 @@ def shown(index: DataFrame) -> str:
     return preview(pretty(index))
 
 
+def run_facts(spark: SparkSession, query: str, began: float, ended: float, incomplete: bool = False) -> DataFrame:
+    """query, elapsed (seconds with two decimals, as text) and incomplete (ended
+    by the timer) of a run, as one row to store beside its index."""
+    return spark.range(1).select(F.lit(query).alias("query"), F.lit(f"{max(ended - began, 0):.2f}").alias("elapsed"), F.lit(incomplete).alias("incomplete"))
+
+
 def file_name(host: str, query: str, incomplete: bool = False) -> str:
     """Host and query, with the first operators spelled out."""
     query = re.sub(r"\|\|?", "or", query, count=1)

@@ -30,6 +30,25 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(spark.read.parquet(f"{sf_dir}/pages.parquet"), PAGES)
 
 
+def fetches(df: DataFrame) -> DataFrame:
+    """One outcome for each url: a page is requested once (the least of several)."""
+    names = StructType.fromDDL(FETCHES).names
+    return checked(df, FETCHES).groupBy("url").agg(F.min(F.struct(*names[1:])).alias("o")).select("url", "o.*")
+
+
+def parsed(pages: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Pages whose fetch brought HTML: status 200, in time, of a type that is
+    missing or HTML. A page without an outcome is not parsed."""
+    html = F.col("content_type").isNull() | F.col("content_type").startswith("text/html")
+    good = fetches.where((F.col("status") == 200) & ~F.coalesce("timed_out", F.lit(False)) & html)
+    return pages.join(good.select("url"), "url", "left_semi")
+
+
+def robots(df: DataFrame) -> DataFrame:
+    """Raw robots text by origin; null where there is none."""
+    return checked(df, ROBOTS)
+
+
 def images(df: DataFrame) -> DataFrame:
     """One row for each src: an image is loaded once."""
     return checked(df, IMAGES).dropDuplicates(["src"])
