@@ -31,6 +31,8 @@ hash; an only row is its own next; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,11 +116,13 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(equal.cast("double") / SLOTS)
 
 
-def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """doc_id, text, *keep and next_text, next_* of the following row in
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], made: list[str]) -> DataFrame:
+    """doc_id, text, *made and next_text, next_* of the following row in
     descending order of doc_id; after the last row comes the first.
 
-    docs has doc_id, text and keep. Shards end at ids that occur, so the first
+    docs has doc_id and text; derive adds the columns made, after the exchange,
+    so they don't travel and big input files are dealt out before the work.
+    Shards end at ids that occur, so the first
     row of a shard (in descending order) has its cut as doc_id; it is dealt to
     the shard above as well, and the first row of all to the last shard."""
     cuts = bounds(docs, "doc_id", 8 * partitions(docs.sparkSession))
@@ -137,16 +141,16 @@ def with_next(docs: DataFrame, keep: list[str]) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     order = Window.partitionBy("at").orderBy((F.col("guest") == 2).asc(), F.col("doc_id").desc_nulls_last(), "tie", "guest")
-    rows = docs.select("doc_id", "text", *keep, tie.alias("tie"), shard_of(F.col("doc_id"), cuts).alias("shard"))
-    rows = rows.select("doc_id", "text", *keep, "tie", F.inline(dealt))
-    nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in ["text", *keep]]
-    return rows.select("doc_id", "text", *keep, "guest", *nexts).where("guest = 0").drop("guest")
+    rows = docs.select("doc_id", "text", tie.alias("tie"), shard_of(F.col("doc_id"), cuts).alias("shard"))
+    rows = derive(rows.select("doc_id", "text", "tie", F.inline(dealt)).repartition("at"))
+    nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in ["text", *made]]
+    return rows.select("doc_id", "text", *made, "guest", *nexts).where("guest = 0").drop("guest")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """The digest columns of op8 for docs(doc_id, text)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(with_fingerprint(docs, "text", "fingerprint"), ["fingerprint"])
+    paired = with_next(docs, lambda rows: with_fingerprint(rows, "text", "fingerprint"), ["fingerprint"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
