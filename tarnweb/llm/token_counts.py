@@ -1,8 +1,9 @@
 """Token counts of sections by offset-mapped attribution.
 
 A whole document is encoded once by the library, which gives the characters where
-each token starts and ends. Sections are spans that tile the text; both lists are sorted, so a binary search
-joins them. A token that crosses a border belongs, by rule, to the section of
+each token starts and ends. Sections are spans that tile the text; both lists
+are sorted, so a binary search of the borders among the tokens joins them, and
+only the tokens looked at leave the library. A token that crosses a border belongs, by rule, to the section of
 its first character; how many cross is reported.
 
 Sections here are lines, each with the line feed that ends it.
@@ -25,6 +26,8 @@ from .common import in_slices, read, ship
 from .tokens import portions, whole
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Tokens a section from which on borders are searched for; below, all offsets are read. Both give the same.
+SPARSE = 32
 
 
 def line_starts(text: str) -> np.ndarray:
@@ -46,6 +49,29 @@ def attribute(token_at: np.ndarray, token_end: np.ndarray, section_at: np.ndarra
     return np.bincount(section, minlength=len(section_at)), int((token_end > border[section]).sum())
 
 
+def search(encoding, section_at: list[int]) -> tuple[list[int], int]:
+    """What attribute() gives, asking the encoding for few of its offsets: each
+    border is looked for from the border before it on, in doubled steps, then by
+    halves. A border lies within one token at most."""
+    at, n = encoding.token_to_chars, len(encoding)
+    counts, crossing, lo, last = [], 0, 0, -1
+    for border in section_at[1:]:
+        begin, step = lo, 1
+        while lo + step <= n and at(lo + step - 1)[0] < border:
+            lo, step = lo + step, 2 * step
+        hi = min(lo + step - 1, n)
+        while lo < hi:
+            middle = (lo + hi) // 2
+            if at(middle)[0] < border:
+                lo = middle + 1
+            else:
+                hi = middle
+        counts.append(lo - begin)
+        if lo > 0 and lo - 1 != last and at(lo - 1)[1] > border:
+            crossing, last = crossing + 1, lo - 1
+    return [*counts, n - lo], crossing
+
+
 def _counter(vocabulary: str, sections: Callable[[str], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = whole(vocabulary)
@@ -54,13 +80,17 @@ def _counter(vocabulary: str, sections: Callable[[str], np.ndarray]):
             tokens, number, crossing, per = [], [], [], []
             for lo, hi in portions(texts, 1 << 18):
                 for text, e in zip(texts[lo:hi], tokenizer.encode_batch(texts[lo:hi], add_special_tokens=False)):
-                    offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
                     starts = sections(text)
-                    counts, crossed = attribute(offsets[:, 0], offsets[:, 1], starts, len(text))
-                    tokens.append(len(offsets))
+                    if len(starts) * SPARSE <= len(e):
+                        counts, crossed = search(e, starts.tolist())
+                    else:
+                        offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
+                        counts, crossed = attribute(offsets[:, 0], offsets[:, 1], starts, len(text))
+                        counts = counts.tolist()
+                    tokens.append(len(e))
                     number.append(len(starts))
                     crossing.append(crossed)
-                    per.append(",".join(map(str, counts.tolist())))
+                    per.append(",".join(map(str, counts)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *[pa.array(x, pa.int64()) for x in (tokens, number, crossing)], pa.array(per, pa.string())],
                 names=["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tarnweb.llm import chat, decontaminate, fingerprints, forest, lcp_merge, mixing, pii, quality, registry, simple8b, suffixes, token_counts, token_files
+from tarnweb.llm import chat, decontaminate, fingerprints, forest, lcp_merge, mixing, pii, quality, registry, simple8b, suffixes, token_counts, token_files, tokens
 
 WORDS = "the of and than ding oran mist velo quar tin sol per lam nix gro".split()
 
@@ -151,6 +151,19 @@ def test_token_counts(docs, rows, vocabulary):
     assert got == want
 
 
+@pytest.mark.parametrize("vocabulary", [token_counts.VOCABULARY, token_files.VOCABULARY])
+def test_token_search(rows, vocabulary):
+    """Borders searched for among the tokens against all offsets, for any sections."""
+    tokenizer, rng = tokens.whole(vocabulary), random.Random(6)
+    for _, t in [*texts(rows), (0, "x"), (0, "日本語 𝒳𝒴 é́ " * 40)]:
+        e = tokenizer.encode(t, add_special_tokens=False)
+        offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
+        for n in (0, 1, 3, 40, len(t)):
+            starts = np.array([0, *sorted(rng.randint(0, len(t)) for _ in range(n))])
+            counts, crossing = token_counts.attribute(offsets[:, 0], offsets[:, 1], starts, len(t))
+            assert token_counts.search(e, starts.tolist()) == (counts.tolist(), crossing)
+
+
 def test_personal_data(docs, rows):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
