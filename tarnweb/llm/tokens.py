@@ -23,8 +23,9 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 DOUBTFUL = r"[\x1c-\x1f\x85\u180e\u200b\u2060\ufeff]|<\|"
 #: Word-level vocabularies: in a text of these characters alone a token ends
 #: wherever letters and other characters meet. (The quote starts tokens as 's.)
-PLAIN = r"[\x00-&(-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u00ab\u00bb\u00bf\u00a1]*"
-LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+#: U+0130 is left out: in lower case it is a letter and a mark, two tokens.
+PLAIN = r"[\x00-&(-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u00ab\u00bb\u00bf\u00a1]*"
+LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
 RUNS = LETTERS + "|" + LETTERS.replace("[", "[^ \n")
 #: Pieces kept in a worker, about 170 bytes each. Beyond that the table goes on
 #: with the half used most.
@@ -107,13 +108,15 @@ class Pieces:
         together = [p for p in pieces if self.letters(p)]
         alone = [p for p in pieces if not self.letters(p)]
         found = {}
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.uint32)
+        last = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+        if len(last) != len(together):  # a letter that the library takes apart
+            together, alone = [], pieces
         for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             found[p] = np.array(e.ids, np.uint32).tobytes()
         if together:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.uint32)
-            last = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
             raw, begin = ids.tobytes(), 0
-            for p, end in zip(together, last, strict=True):
+            for p, end in zip(together, last):
                 found[p] = raw[begin:end]
                 begin = end
         parts = [found[p] for p in pieces]
