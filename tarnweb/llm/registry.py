@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, forest, infill, mixing, pii, quality, suffixes, token_counts, token_files
+from . import chat, decontaminate, fingerprints, forest, infill, mixing, pii, quality, sharding, suffixes, token_counts, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.query,
     "op9_suffix_dedup": suffixes.query,
     "op10_jaccard_join": forest.query,
+    "op12_shards": sharding.query,
     "op13_infill": infill.query,
 }
 
