@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, forest, infill, mixing, pii, quality, sharding, suffixes, token_counts, token_files
+from . import chat, decontaminate, fingerprints, forest, infill, mixing, pii, quality, ranking, sharding, suffixes, token_counts, token_files
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_fingerprints": fingerprints.query,
     "op9_suffix_dedup": suffixes.query,
     "op10_jaccard_join": forest.query,
+    "op11_ranked_search": ranking.query,
     "op12_shards": sharding.query,
     "op13_infill": infill.query,
 }
 
-SQL = {"op1_mix_sources": mixing.SQL, "op7_decontaminate": decontaminate.SQL}
+SQL = {"op1_mix_sources": mixing.SQL, "op7_decontaminate": decontaminate.SQL, "op11_ranked_search": ranking.SQL}
