@@ -10,8 +10,8 @@
    it minimises the sum over postings of the block's greatest impact less their
    own, with BLOCK_COST for each block, over blocks of LENGTHS postings. Greatest
    impacts and last places of blocks are stored beside the postings.
-3. Search runs shard by shard, an item at a time. Between two ends of blocks of an
-   item's terms the sum of the blocks' bounds does not change; where it is below
+3. Search runs shard by shard, an item at a time. Between two borders of blocks of
+   an item's terms the sum of the blocks' bounds does not change; where it is below
    the least score that still counts, no document is looked at and no block is
    read. This is WAND's pivot test, made for all such stretches at once. Stretches
    are taken from the highest bound on, the tenth score rises, and the search ends
@@ -229,22 +229,24 @@ def best(lists: Lists, query: dict[str, int], k: int = TOP) -> tuple[np.ndarray,
     if not terms or not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lasts = [places[ends - 1] for _, places, _, ends, _ in terms]
-    grid = np.unique(np.concatenate(lasts))  # the last place of each stretch
+    firsts = [places[np.concatenate([[0], ends[:-1]])] for _, places, _, ends, _ in terms]
+    grid = np.unique(np.concatenate([*firsts, *[x + 1 for x in lasts]]))  # the first place of each stretch
     bound, block = np.zeros(len(grid), np.int64), []
-    for (w, _, _, _, tops), last in zip(terms, lasts):
+    for (w, _, _, _, tops), first, last in zip(terms, firsts, lasts):
         at = np.searchsorted(last, grid)
+        at[np.append(first, n)[at] > grid] = len(last)  # between two blocks
         block.append(at)
         bound += w * np.append(tops, 0)[at]
     stretch = np.argsort(-bound, kind="stable")
     scores, done, portion, least = np.zeros(n, np.int64), 0, 4, 1
-    first = np.concatenate([[0], grid[:-1] + 1])
+    after = np.append(grid[1:], n)
     while done < len(stretch) and bound[stretch[done]] >= least:
         now = stretch[done : done + portion]
         now = now[bound[now] >= least]
         done, portion = done + len(now), portion * 2
         inside = np.zeros(n, bool)
-        for a, b in zip(first[now].tolist(), grid[now].tolist()):
-            inside[a : b + 1] = True
+        for a, b in zip(grid[now].tolist(), after[now].tolist()):
+            inside[a:b] = True
         for (w, places, impact, ends, _), at in zip(terms, block):
             wanted = np.unique(at[now])
             wanted = wanted[wanted < len(ends)]
