@@ -2,7 +2,9 @@
 
 The fast path finds elements of all kinds with one regular expression and one
 scan; html is dropped in the same stage. Comments and scripts are blanked first.
-Selectors need a tree and run in Arrow batches (:mod:`.selectors`).
+Selectors need a tree and run in Arrow batches (:mod:`.selectors`). With a selector
+all elements come from the trees, each once: a selected link is one record with
+both labels, whose group keeps the fragment, as selection comes before links.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import MARKUP_CHARS, truncated_markup
-from ..plans.options import SiteContext
+from ..plans.options import AuditOptions, SiteContext
 
 TAGS = {"image": "img", "iframe": "iframe", "link": "a"}
 ORDER = {"image": 0, "iframe": 1, "selected": 2, "link": 3}
 ATTRIBUTES = ("href", "src", "alt", "title", "width", "height")
 #: Class of blocks of related links (fixed value).
 RELATED = "field-name-field-related-links"
+#: Elements that have an href or a src property (fixed values).
+WITH_HREF = ("A", "AREA", "LINK", "BASE")
+WITH_SRC = ("IMG", "IFRAME", "FRAME", "SCRIPT", "EMBED", "AUDIO", "VIDEO", "SOURCE", "TRACK", "INPUT")
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
@@ -83,31 +88,50 @@ def start_page(site: SiteContext, like: DataFrame) -> DataFrame:
     return row.select(*[row[c] if c in row.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns])
 
 
+def audited(pages: DataFrame, options: AuditOptions) -> DataFrame:
+    """Elements of pages as the options ask for them, not yet located."""
+    if options.selector is None:
+        return elements(pages)
+    from .selectors import page_elements
+
+    return page_elements(pages, options.selector)
+
+
 def located(found: DataFrame) -> DataFrame:
     """Adds url_attr, url_prop, its parts and group_name."""
+    tag = F.upper(F.regexp_extract("markup", r"^<([A-Za-z0-9]+)", 1))
+    picked = F.col("kind") == "selected"
     step = found.withColumn("url_attr", F.coalesce(F.col("href"), F.col("src")))
-    step = urls.with_resolved(step, F.col("url_attr"), F.col("document"), "url_prop")
+    owned = F.when(tag.isin(*WITH_HREF), F.col("href")).when(tag.isin(*WITH_SRC), F.col("src"))
+    step = urls.with_resolved(step, F.when(picked, owned).otherwise(F.col("url_attr")), F.col("document"), "url_prop")
     step = urls.with_parts(step.withColumn("url_prop", F.coalesce("url_prop", F.lit(""))), "url_prop")
-    tag = F.upper(F.regexp_extract("markup", r"^<([A-Za-z0-9]+)", 1))
     bare = F.when(F.col("url_prop") == "", "").otherwise(F.concat("url_origin", "url_path", "url_search"))
     with_href = F.col("kind").isin("link", "start") | F.col("href").isNotNull()
-    selected = F.when(F.col("url_prop") != "", F.col("url_prop")).otherwise(tag)
-    group = F.when(F.col("kind") == "selected", selected).when(with_href, bare).otherwise(F.col("url_prop"))
+    group = F.when(picked, F.when(tag.isin(*WITH_HREF, *WITH_SRC), F.col("url_prop")).otherwise(tag))
+    if "selected" in found.columns:
+        group = group.when((F.col("kind") == "link") & F.col("selected"), F.col("url_prop"))
+    group = group.when(with_href, bare).otherwise(F.col("url_prop"))
     # One generated row a row: filters on these columns, which a join adds, stay
     # above it instead of being written out over all the steps below.
     made = F.array(F.struct("url_attr", "url_prop", *urls.PART_COLUMNS, group.alias("group_name")))
     return step.select(*found.columns, F.inline(made))
 
 
-def ordering() -> list[Column]:
-    """Record order: page, then kind, then place in the page."""
+def ordering(selection: bool = False) -> list[Column]:
+    """Record order: page, then kind, then place in the page. selection: rows
+    have `selected`; then selected elements that are not images or iframes come
+    between those and links, in the order of the tree."""
     rank = reduce(lambda c, k: c.when(F.col("kind") == k, ORDER[k]), ORDER, F.when(F.col("kind") == "start", -1))
-    return [F.col("page_id"), rank, F.col("node_pos")]
+    place = F.col("node_pos")
+    if selection:
+        moved = F.col("selected") & F.col("kind").isin("link", "selected")
+        rank, place = F.when(moved, ORDER["selected"]).otherwise(rank), F.when(moved, F.col("tree_pos")).otherwise(place)
+    return [F.col("page_id"), rank, place]
 
 
-def record_key() -> Column:
+def record_key(selection: bool = False) -> Column:
     """A sortable value that identifies a record, without numbering them all."""
-    page, rank, place = ordering()
+    page, rank, place = ordering(selection)
     return F.struct(page.alias("page"), rank.alias("rank"), place.alias("place"))
 
 

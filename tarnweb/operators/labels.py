@@ -71,7 +71,7 @@ def classify(located: DataFrame, site: SiteContext, options: AuditOptions = Audi
         "image": kind == "image",
         "iframe": kind == "iframe",
         "startPage": kind == "start",
-        "userSelected": kind == "selected",
+        "userSelected": (kind == "selected") | (F.col("selected") if "selected" in df.columns else F.lit(False)),
         "bannedString": (link | frame_like) & there & bad,
         "anchor": clear & (p.hash != ""),
         "absoluteInternal": F.when(link, internal & (attr == F.lower(prop)) & (~related if options.exclude_related_links else F.lit(True))).otherwise(internal & (attr == prop)),

@@ -16,8 +16,12 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.text import MARKUP_CHARS
 from ..workers import ship
 
+#: Pages whose trees are built of one slice of a batch.
+SLICE = 256
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SIMPLE = re.compile(r"""\*|([A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^$*~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]|:([a-z-]+)(?:\(((?:[^()]|\([^()]*\))*)\))?""")
 COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
@@ -34,10 +38,12 @@ class Node:
     place: int = 0
     tag_pos: int = 0
 
-    def markup(self) -> str:
-        out, todo = [], [self]
-        while todo:
+    def markup(self, limit: int | None = None) -> str:
+        """Outer HTML; with a limit, cut soon after so many characters."""
+        out, todo, size = [], [self], 0
+        while todo and (limit is None or size <= limit):
             at = todo.pop()
+            size += len(at) if isinstance(at, str) else len(at.tag) + 2
             if isinstance(at, str):
                 out.append(at)
                 continue
@@ -187,27 +193,37 @@ def selects(chain: list[tuple[str, list[tuple]]], node: Node) -> bool:
 
 
 COLUMNS = ("href", "src", "alt", "title", "width", "height")
+#: Kinds of records by tag; any other selected element is of kind `selected`.
+RECORDS = {"a": "link", "img": "image", "iframe": "iframe"}
 KINDS = {
     "page_id": pa.int64(), "document": pa.string(), "kind": pa.string(), "node_pos": pa.int32(), "markup": pa.string(), **{c: pa.string() for c in COLUMNS},
-    "tag": pa.string(), "tag_pos": pa.int32(),
+    "tag": pa.string(), "tag_pos": pa.int32(), "selected": pa.bool_(), "tree_pos": pa.int32(),
 }
-DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}
+DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
 
 
-def _selected(pages: DataFrame, selector: str, wanted: tuple[str, ...]) -> DataFrame:
+def _found(pages: DataFrame, selector: str, wanted: tuple[str, ...], also: tuple[str, ...] = ()) -> DataFrame:
+    """Columns wanted of the elements that a selector matches, and of all
+    elements of the tags `also`, in one pass over the trees of pages."""
     compile_selector(selector)
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains = compile_selector(selector)
-        for b in batches:
+        for b in (batch.slice(i, SLICE) for batch in batches for i in range(0, len(batch), SLICE)):
             out: dict[str, list] = {n: [] for n in wanted}
             for page, url, html in zip(*[b.column(n).to_pylist() for n in ("page_id", "url", "html")]):
                 for i, node in enumerate(_Tree(html or "").nodes):
-                    if any(selects(c, node) for c in chains):
-                        values = {"page_id": page, "document": url, "kind": "selected", "node_pos": i, "tag": node.tag, "tag_pos": node.tag_pos}
-                        for n in wanted:
-                            out[n].append(values[n] if n in values else node.markup() if n == "markup" else node.attrs.get(n))
+                    selected = any(selects(c, node) for c in chains)
+                    if not selected and node.tag not in also:
+                        continue
+                    record = node.tag in also
+                    values = {
+                        "page_id": page, "document": url, "kind": RECORDS[node.tag] if record else "selected", "node_pos": node.tag_pos if record else i,
+                        "tag": node.tag, "tag_pos": node.tag_pos, "selected": selected, "tree_pos": i,
+                    }
+                    for n in wanted:
+                        out[n].append(values[n] if n in values else node.markup(MARKUP_CHARS) if n == "markup" else node.attrs.get(n))
             yield pa.RecordBatch.from_arrays([pa.array(v, KINDS[n]) for n, v in out.items()], names=list(out))
 
     return pages.select("page_id", "url", "html").mapInArrow(run, ", ".join(f"{n} {DDL[KINDS[n]]}" for n in wanted))
@@ -215,10 +231,16 @@ def _selected(pages: DataFrame, selector: str, wanted: tuple[str, ...]) -> DataF
 
 def select_elements(pages: DataFrame, selector: str) -> DataFrame:
     """Elements of pages(page_id, url, html) that a selector matches."""
-    return _selected(pages, selector, ("page_id", "document", "kind", "node_pos", "markup", *COLUMNS))
+    return _found(pages, selector, ("page_id", "document", "kind", "node_pos", "markup", *COLUMNS))
 
 
 def select_places(pages: DataFrame, selector: str) -> DataFrame:
     """page_id, tag and tag_pos (place among the page's elements of that tag) of
     the elements that a selector matches."""
-    return _selected(pages, selector, ("page_id", "tag", "tag_pos"))
+    return _found(pages, selector, ("page_id", "tag", "tag_pos"))
+
+
+def page_elements(pages: DataFrame, selector: str) -> DataFrame:
+    """Links, images, iframes and selected elements of pages, each once, with
+    `selected` and `tree_pos`, its place among all elements of the page."""
+    return _found(pages, selector, ("page_id", "document", "kind", "node_pos", "markup", *COLUMNS, "selected", "tree_pos"), tuple(RECORDS))

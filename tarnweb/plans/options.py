@@ -37,26 +37,43 @@ class AuditOptions:
     selector: str | None = None
     exclude_related_links: bool = True
     max_depth: int | None = None
+    #: Seconds after which a crawl ends incomplete, unless ignore_timer is set.
+    timeout: float | None = None
+
+    @property
+    def deadline(self) -> float | None:
+        return None if self.ignore_timer else self.timeout
 
     @property
     def banned(self) -> tuple[str, ...]:
         return () if self.ignore_banned else self.banned_strings
 
 
-#: Flags, matched anywhere in the flag text and in any case (fixed values).
-FLAGS = {
-    "ignore_robots": r"-ignoreRobots\.?Txt\b",
-    "ignore_banned": r"-ignoreBannedStr(?:ing)?s?\b",
-    "ignore_timer": r"-ignoreTime(?:r|out)\b",
-    "one_page": r"-(?:single|one|1)(?:Page|Pg)\b",
-    "disallow": r"-disallow\s*([\"'`])(.+?)\1",
-    "select": r"-(?:css)?[-_]?select(?:[oe]r)?\s*([\"'`])(.*?)\1",
+#: Spellings of the flags after their dash (fixed values); case does not matter.
+SPELLINGS = {
+    "ignore_robots": ("ignoreRobotsTxt", "ignoreRobots.Txt"),
+    "ignore_banned": ("ignoreBannedStr", "ignoreBannedStrs", "ignoreBannedString", "ignoreBannedStrings"),
+    "ignore_timer": ("ignoreTimer", "ignoreTimeout"),
+    "one_page": ("singlePage", "singlePg", "onePage", "onePg", "1Page", "1Pg"),
+    "disallow": ("disallow",),
+    "select": tuple(f"{first}{between}{word}" for first in ("", "CSS") for between in ("", "-", "_") for word in ("Select", "Selector", "Selecter")),
 }
+#: What follows the flags that take a text: blanks before the first quote, if they
+#: are passed over, and what may stand between the quotes.
+ARGUMENTS = {"disallow": ("", r'[^"\n]+'), "select": (r"\s*", r".+?")}
+
+
+def _flag(name: str, text: str) -> re.Match | None:
+    """The first place of a flag anywhere in the text; group 2 is its argument."""
+    words = "|".join(map(re.escape, SPELLINGS[name]))
+    blanks, inside = ARGUMENTS.get(name, ("", ""))
+    after = rf"{blanks}([\"'`])({inside})\1" if inside else r"\b"
+    return re.search(rf"-(?:{words}){after}", text, re.I)
 
 
 def parse_flags(text: str, **defaults) -> AuditOptions:
     """Options from a flag text; an unsupported selector raises."""
-    found = {k: re.search(p, text, re.I | re.S) for k, p in FLAGS.items()}
+    found = {name: _flag(name, text) for name in SPELLINGS}
     options = dict(defaults)
     for name in ("ignore_robots", "ignore_banned", "ignore_timer"):
         if found[name]:
@@ -64,7 +81,7 @@ def parse_flags(text: str, **defaults) -> AuditOptions:
     if found["one_page"]:
         options["recursive"] = False
     if found["disallow"]:
-        options["disallow"] = tuple(re.split(r"\s*,\s*", found["disallow"][2].strip()))
+        options["disallow"] = tuple(re.split(r"\s*,\s*", found["disallow"][2]))
     if found["select"]:
         from ..operators.selectors import compile_selector
 
