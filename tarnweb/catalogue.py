@@ -9,8 +9,6 @@ other pages of the table, so that a crawl has a graph to follow.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,29 +97,39 @@ def _sql_values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
 
 
-def _elements(spark: SparkSession, kind: str, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
-    """Crafted elements of one kind on https://site.test/ with some attributes."""
-    given = _values(spark, "node_pos int, " + ", ".join(f"{n} string" for n in names), rows)
-    return extract.located(
-        given.select(
-            F.lit(0).cast("bigint").alias("page_id"), F.lit("https://site.test/").alias("document"), F.lit(kind).alias("kind"), "node_pos", F.lit(f"<{extract.TAGS[kind]}>").alias("markup"),
-            *[(F.col(a) if a in names else F.lit(None).cast("string")).alias(a) for a in extract.ATTRIBUTES],
-        )
-    )
+def _made(*parts) -> F.Column:
+    """Texts and columns one after another."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+def _by(k: F.Column, *cases) -> F.Column:
+    """The case of a page: its number modulo the number of cases; None is NULL."""
+    out = F.lit(None).cast("string")
+    for i, case in enumerate(cases):
+        out = F.when(k % len(cases) == i, F.lit(None).cast("string") if case is None else _made(*case) if isinstance(case, tuple) else F.lit(case)).otherwise(out)
+    return out
+
+
+def _attributes(**values: F.Column) -> F.Column:
+    """Attributes of a start tag; NULL leaves one out."""
+    return F.concat(*[F.coalesce(F.concat(F.lit(f' {n}="'), v, F.lit('"')), F.lit("")) for n, v in values.items()])
+
+
+def _crafted(spark: SparkSession, sf_dir: str, kind: str, attributes) -> DataFrame:
+    """Located elements of one kind: an element for each page, of attributes made
+    from its number, on https://site.test/."""
+    html = F.concat(F.lit(f"<p>x<{extract.TAGS[kind]}"), attributes(F.col("page_id")), F.lit(">"))
+    pages = _pages(spark, sf_dir).select("page_id", F.lit(TEST_SITE.start_page).alias("url"), html.alias("html"))
+    return extract.located(extract.elements(pages, (kind,)))
 
 
 TEST_SITE = SiteContext.of("https://site.test/")
-LINK_ROWS = [(0, "mailto:a@b.test"), (1, "tel:123"), (2, "file:///etc/x"), (3, "javascript:void(0)"), (4, "data:text/plain,x"), (5, "irc://chat.test/a"), (6, None), (7, "http://site.test/p"), (8, "https://site.test/q#x"), (9, "http://other.test/")]
-IMAGE_ROWS = [(0, "https://site.test/a.png", "a", "10", "20"), (1, "https://site.test/a.png", "", "10", "21"), (2, "https://site.test/b.png", None, None, None), (3, None, None, None, None), (4, "http://cdn.test/c.png", "c", "x", None), (5, "/a.png", "d", "", None)]
-IMAGE_FACTS = [("https://site.test/a.png", True, 10, 20), ("https://site.test/b.png", False, None, None), ("http://cdn.test/c.png", True, 5, 5)]
-FRAME_ROWS = [(0, "https://site.test/f", "t"), (1, "https://site.test/f", ""), (2, "http://other.test/f", None), (3, None, "x"), (4, "data:text/html,x", "y")]
-ROBOTS_TEXT = "# rules\nDisallow: /early\n\nUser-agent: bot\nDisallow: /bot\nSitemap: https://site.test/map.xml\nUser-agent: a\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nbroken line\nDisallow:\n"
 PATTERNS = ["/", "/*", "a", "$", "", "/about/", "/*.php$", "/a*$", "/x*y", "/private"]
 PATHS = ["/x/about/y", "/d/l.php", "/my.php.data/s.txt", "/a.php/b.php", "/a", "/b/a", "", "/private/open/1", "/x1y2"]
 CRAWL_SITE = SiteContext.of("https://crawl.test/p/0")
 CRAWL_ROBOTS = "User-agent: *\nDisallow: /*7$\nAllow: /p/27\nDisallow: /The\n"
 SITE_IMAGES = [("https://crawl.test/i/1.png", True, 10, 20), ("https://crawl.test/i/2.png", False, None, None), ("https://crawl.test/i/3.png", True, 11, 20)]
-FUZZY_CANDIDATES = list(labels.GROUP_LABELS + labels.ELEMENT_LABELS)
+FUZZY_PATTERN = "en"
 
 
 def _extract_links(spark, sf_dir):
@@ -156,20 +164,42 @@ def _label_counts(spark, sf_dir):
     return suggest.label_counts(_records(spark, sf_dir)).where(F.col("label").isin("link", "internal", "external", "anchor", "http-httpsError", "absoluteInternal", "bannedString", "email"))
 
 
+def _link_attributes(k):
+    return _attributes(href=_by(k, ("mailto:u", k, "@b.test"), ("tel:", k), ("file:///etc/", k), ("javascript:void(", k, ")"), ("data:text/plain,", k), ("irc://chat.test/", k), None, ("http://site.test/p", k), ("https://site.test/q", k, "#x"), ("http://other.test/", k)))
+
+
+def _image_attributes(k):
+    src = _by(k, ("https://site.test/a", k, ".png"), ("https://site.test/a", k, ".png"), ("https://site.test/b", k, ".png"), None, ("http://cdn.test/c", k, ".png"), ("/a", k, ".png"))
+    return _attributes(src=src, alt=_by(k, "", None, ("x", k), "y"), width=_by(k, None, "10", (k,), "x", "", "1e1", " 10 "), height=_by(k, None, "20", "21"))
+
+
+def _frame_attributes(k):
+    return _attributes(src=_by(k, ("https://site.test/f", k), ("http://other.test/f", k), None, ("data:text/html,", k), ("/f", k)), title=_by(k, "t", "", None))
+
+
+def _image_facts(spark, sf_dir):
+    """Outcomes of loading images, for seven pages of eight."""
+    k = F.col("page_id")
+    src = _by(k, ("https://site.test/a", k, ".png"), ("https://site.test/a", k, ".png"), ("https://site.test/b", k, ".png"), "", ("http://cdn.test/c", k, ".png"), ("https://site.test/a", k, ".png"))
+    loaded = k % 7 != 3
+    size = lambda n: F.when(loaded, n).cast("int")
+    rows = _pages(spark, sf_dir).where("page_id % 8 <> 5").select(src.alias("src"), loaded.alias("loaded"), size(10).alias("natural_width"), size(20).alias("natural_height"))
+    return tables.images(rows)
+
+
 def _scheme_labels(spark, sf_dir):
-    flagged = labels.classify(_elements(spark, "link", LINK_ROWS, ("href",)), TEST_SITE, AuditOptions())
-    return flagged.select("node_pos", "group_name", *_flag("internal", "external", "null", "email", "localFile", "javascriptLink", "http-httpsError", "unusualScheme", "anchor"))
+    flagged = labels.classify(_crafted(spark, sf_dir, "link", _link_attributes), TEST_SITE, AuditOptions())
+    return flagged.select("page_id", "group_name", *_flag("internal", "external", "null", "email", "localFile", "javascriptLink", "http-httpsError", "unusualScheme", "anchor"))
 
 
 def _image_labels(spark, sf_dir):
-    facts = tables.images(_values(spark, tables.IMAGES, IMAGE_FACTS))
-    flagged = labels.classify(_elements(spark, "image", IMAGE_ROWS, ("src", "alt", "width", "height")), TEST_SITE, AuditOptions(), facts)
-    return flagged.select("node_pos", *_flag("internal", "external", "null", "noAltText", "improperSize", "visited", "unloaded", "http-httpsError", "absoluteInternal"))
+    flagged = labels.classify(_crafted(spark, sf_dir, "image", _image_attributes), TEST_SITE, AuditOptions(), _image_facts(spark, sf_dir))
+    return flagged.select("page_id", *_flag("internal", "external", "null", "noAltText", "improperSize", "visited", "unloaded", "http-httpsError", "absoluteInternal"))
 
 
 def _iframe_labels(spark, sf_dir):
-    flagged = labels.classify(_elements(spark, "iframe", FRAME_ROWS, ("src", "title")), TEST_SITE, AuditOptions())
-    return flagged.select("node_pos", *_flag("internal", "external", "null", "emptyTitle", "http-httpsError", "absoluteInternal"))
+    flagged = labels.classify(_crafted(spark, sf_dir, "iframe", _frame_attributes), TEST_SITE, AuditOptions())
+    return flagged.select("page_id", *_flag("internal", "external", "null", "emptyTitle", "http-httpsError", "absoluteInternal"))
 
 
 def _fetches(spark, sf_dir):
@@ -208,8 +238,18 @@ def _url_lookup(spark, sf_dir):
     return sets.lookup(wanted, _links(spark, sf_dir))
 
 
+def _robots_files(spark, sf_dir):
+    """A robots text for each page, as if each were a site."""
+    k = F.col("page_id")
+    lines = [
+        "# rules ", k, "\nDisallow: /early", k, "\n\nUser-agent: ", F.when(k % 3 == 0, "*").when(k % 3 == 1, "bot").otherwise("* "), "\r\nDisallow: /one", k, "\rSitemap: https://s", k,
+        ".test/map.xml\nUser-agent: a\n", F.when(k % 4 != 0, "User-agent: *\n").otherwise(""), " ALLOW : /two", k, "?a:b # kept \n", F.when(k % 5 == 0, "broken line\n").otherwise(""), "Disallow:\n",
+    ]
+    return tables.robots(_pages(spark, sf_dir).select(_made("https://s", k, ".test").alias("origin"), _made(*lines).alias("raw_text")))
+
+
 def _robots_parse(spark, sf_dir):
-    return robots.lines(_values(spark, tables.ROBOTS, [("https://site.test", ROBOTS_TEXT)])).select("origin", F.col("line_no").cast("int").alias("line_no"), "key", "value", "well_formed")
+    return robots.lines(_robots_files(spark, sf_dir)).select("origin", F.col("line_no").cast("int").alias("line_no"), "key", "value", "well_formed")
 
 
 def _robots_match(spark, sf_dir):
@@ -290,8 +330,10 @@ def _crawl_closure(spark, sf_dir):
 
 
 def _fuzzy_suggest(spark, sf_dir):
-    rows = _values(spark, "ordinal int, suggestion string", list(enumerate(FUZZY_CANDIDATES)))
-    return suggest.suggest(rows, "alt").select("suggestion", F.col("insertions").cast("int").alias("insertions"))
+    """Paths that links name, best match first; ordered by their first places."""
+    named = _links(spark, sf_dir).select(F.expr("substr(url_attr, 2)").alias("suggestion"), (F.col("page_id") * 1000 + F.col("node_pos")).alias("at"))
+    found = suggest.suggest(named.groupBy("suggestion").agg(F.min("at").alias("ordinal")), FUZZY_PATTERN)
+    return found.select("suggestion", F.col("insertions").cast("int").alias("insertions"))
 
 
 def _preview(spark, sf_dir):
@@ -417,22 +459,27 @@ SQL = {
     "label_anchor": _select_s("page_id, url AS url_attr, anchor AS is_anchor"),
     "label_banned": _select_s("page_id, url AS url_attr, bad AS is_bannedstring"),
     "label_absolute_internal": _select_s("page_id, url AS url_attr, own_internal AND url = lower(url) AS is_absoluteinternal"),
-    "scheme_labels": f"""WITH v(node_pos, href) AS (VALUES {_sql_values(LINK_ROWS)}), x AS (SELECT node_pos, href, regexp_extract(href, '^([a-z]+):', 1) AS sch, regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) AS host FROM v)
-      SELECT node_pos::INT AS node_pos, CASE WHEN href IS NULL THEN '' WHEN sch IN ('http', 'https') THEN regexp_replace(href, '#.*$', '')
+    "scheme_labels": """WITH v AS (SELECT page_id, ['mailto:u' || page_id || '@b.test', 'tel:' || page_id, 'file:///etc/' || page_id, 'javascript:void(' || page_id || ')', 'data:text/plain,' || page_id, 'irc://chat.test/' || page_id, NULL,
+        'http://site.test/p' || page_id, 'https://site.test/q' || page_id || '#x', 'http://other.test/' || page_id][(page_id % 10 + 1)::INT] AS href FROM pages),
+      x AS (SELECT page_id, href, regexp_extract(href, '^([a-z]+):', 1) AS sch, regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) AS host FROM v)
+      SELECT page_id, CASE WHEN href IS NULL THEN '' WHEN sch IN ('http', 'https') THEN regexp_replace(href, '#.*$', '')
           WHEN contains(href, '://') THEN 'null' || regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1) ELSE 'null' || regexp_replace(href, '^[a-z]+:', '') END AS group_name,
         coalesce(sch IN ('http', 'https') AND host = 'site.test', false) AS is_internal, coalesce(sch IN ('http', 'https') AND host <> 'site.test', false) AS is_external, href IS NULL AS is_null,
         coalesce(sch = 'mailto', false) AS is_email, coalesce(sch = 'file', false) AS is_localfile, coalesce(sch = 'javascript', false) AS is_javascriptlink,
         coalesce(sch = 'http', false) AS is_http_httpserror, coalesce(sch NOT IN ('http', 'https', 'mailto', 'file', 'tel', 'javascript'), false) AS is_unusualscheme,
         coalesce(regexp_matches(href, '#.'), false) AS is_anchor FROM x""",
-    "image_labels": f"""WITH v(node_pos, src, alt, w, h) AS (VALUES {_sql_values(IMAGE_ROWS)}), i(isrc, loaded, nw, nh) AS (VALUES {_sql_values(IMAGE_FACTS)}),
-      x AS (SELECT node_pos, src, alt, w, h, CASE WHEN starts_with(src, '/') THEN 'https://site.test' || src ELSE src END AS prop FROM v),
+    "image_labels": """WITH v AS (SELECT page_id, ['https://site.test/a' || page_id || '.png', 'https://site.test/a' || page_id || '.png', 'https://site.test/b' || page_id || '.png', NULL, 'http://cdn.test/c' || page_id || '.png', '/a' || page_id || '.png'][(page_id % 6 + 1)::INT] AS src,
+        ['', NULL, 'x', 'y'][(page_id % 4 + 1)::INT] AS alt, [NULL, '10', page_id::VARCHAR, 'x', '', '1e1', ' 10 '][(page_id % 7 + 1)::INT] AS w, [NULL, '20', '21'][(page_id % 3 + 1)::INT] AS h FROM pages),
+      x AS (SELECT *, CASE WHEN starts_with(src, '/') THEN 'https://site.test' || src ELSE src END AS prop FROM v),
+      i AS (SELECT prop AS isrc, page_id % 7 <> 3 AS loaded, CASE WHEN page_id % 7 <> 3 THEN 10 END AS nw, CASE WHEN page_id % 7 <> 3 THEN 20 END AS nh FROM x WHERE prop IS NOT NULL AND page_id % 8 <> 5),
       y AS (SELECT x.*, i.*, regexp_extract(prop, '^[a-z]+://([^/?#]*)', 1) = 'site.test' AS same FROM x LEFT JOIN i ON prop = isrc)
-      SELECT node_pos::INT AS node_pos, coalesce(same, false) AS is_internal, coalesce(NOT same, false) AS is_external, src IS NULL AS is_null, src IS NOT NULL AND coalesce(alt, '') = '' AS is_noalttext,
-        coalesce(loaded AND ((w IS NOT NULL AND NOT coalesce(CASE WHEN trim(w) = '' THEN 0 ELSE TRY_CAST(w AS DOUBLE) END = nw, false)) OR (h IS NOT NULL AND NOT coalesce(CASE WHEN trim(h) = '' THEN 0 ELSE TRY_CAST(h AS DOUBLE) END = nh, false))), false) AS is_impropersize,
+      SELECT page_id, coalesce(same, false) AS is_internal, coalesce(NOT same, false) AS is_external, src IS NULL AS is_null, src IS NOT NULL AND coalesce(alt, '') = '' AS is_noalttext,
+        coalesce(loaded AND ((w IS NOT NULL AND NOT coalesce(CASE WHEN trim(w) = '' THEN 0 ELSE TRY_CAST(trim(w) AS DOUBLE) END = nw, false)) OR (h IS NOT NULL AND NOT coalesce(CASE WHEN trim(h) = '' THEN 0 ELSE TRY_CAST(h AS DOUBLE) END = nh, false))), false) AS is_impropersize,
         loaded IS NOT NULL AS is_visited, coalesce(NOT loaded, false) AS is_unloaded, coalesce(NOT starts_with(prop, 'https:'), false) AS is_http_httpserror, coalesce(same AND src = prop, false) AS is_absoluteinternal FROM y""",
-    "iframe_labels": f"""WITH v(node_pos, src, title) AS (VALUES {_sql_values(FRAME_ROWS)}), x AS (SELECT *, regexp_extract(src, '^[a-z]+://([^/?#]*)', 1) = 'site.test' AS same FROM v)
-      SELECT node_pos::INT AS node_pos, coalesce(same, false) AS is_internal, coalesce(NOT same, false) AS is_external, src IS NULL AS is_null, src IS NOT NULL AND coalesce(title, '') = '' AS is_emptytitle,
-        coalesce(NOT starts_with(src, 'https:'), false) AS is_http_httpserror, coalesce(same, false) AS is_absoluteinternal FROM x""",
+    "iframe_labels": """WITH v AS (SELECT page_id, ['https://site.test/f' || page_id, 'http://other.test/f' || page_id, NULL, 'data:text/html,' || page_id, '/f' || page_id][(page_id % 5 + 1)::INT] AS src, ['t', '', NULL][(page_id % 3 + 1)::INT] AS title FROM pages),
+      x AS (SELECT *, starts_with(src, '/') OR regexp_extract(src, '^[a-z]+://([^/?#]*)', 1) = 'site.test' AS same FROM v)
+      SELECT page_id, coalesce(same, false) AS is_internal, coalesce(NOT same, false) AS is_external, src IS NULL AS is_null, src IS NOT NULL AND coalesce(title, '') = '' AS is_emptytitle,
+        coalesce(NOT starts_with(src, 'https:') AND NOT starts_with(src, '/'), false) AS is_http_httpserror, coalesce(starts_with(src, 'https://site.test/'), false) AS is_absoluteinternal FROM x""",
     "fetch_labels": f"""WITH {_FETCH} SELECT 'https://x.test/' || page_id AS group_name, {', '.join(f'{_SEEN}{k} AS {_column(n)}' for k, n in labels.STATUS.items())},
         file AS is_file, ct IS NULL OR (aborted AND NOT file) AS is_unknowncontenttype FROM g""",
     "query_and": _select_s("page_id, url AS url_attr", "internal AND anchor"),
@@ -450,8 +497,14 @@ SQL = {
     "inverted_index": f"WITH {_E} SELECT url_prop AS key, string_agg(url, chr(10) ORDER BY page_id, node_pos) AS vals, count(*)::BIGINT AS n FROM e GROUP BY url_prop",
     "url_lookup": f"""WITH {_E}, w AS (SELECT '/' || string_split(url, '/')[4] AS url FROM pages UNION SELECT '/The' UNION SELECT '/nowhere-at-all')
       SELECT url, CASE WHEN url IN (SELECT url_attr FROM e) THEN 'Found' ELSE 'None' END AS found FROM w""",
-    "robots_parse": """SELECT * FROM (VALUES ('https://site.test', 1, 'disallow', '/early', true), ('https://site.test', 5, 'sitemap', 'https://site.test/map.xml', true), ('https://site.test', 8, 'disallow', '/private', true),
-      ('https://site.test', 9, 'allow', '/private/open', true), ('https://site.test', 10, NULL, NULL, false), ('https://site.test', 11, 'allow', '/', true)) AS t(origin, line_no, key, value, well_formed)""",
+    "robots_parse": r"""WITH t AS (SELECT 'https://s' || page_id || '.test' AS origin, '# rules ' || page_id || chr(10) || 'Disallow: /early' || page_id || chr(10) || chr(10) || 'User-agent: ' || ['*', 'bot', '* '][(page_id % 3 + 1)::INT] || chr(13) || chr(10)
+        || 'Disallow: /one' || page_id || chr(13) || 'Sitemap: https://s' || page_id || '.test/map.xml' || chr(10) || 'User-agent: a' || chr(10) || CASE WHEN page_id % 4 <> 0 THEN 'User-agent: *' || chr(10) ELSE '' END
+        || ' ALLOW : /two' || page_id || '?a:b # kept ' || chr(10) || CASE WHEN page_id % 5 = 0 THEN 'broken line' || chr(10) ELSE '' END || 'Disallow:' || chr(10) AS raw FROM pages),
+      l AS (SELECT origin, unnest(lines) AS line, generate_subscripts(lines, 1)::INT - 1 AS line_no FROM (SELECT origin, string_split_regex(raw, '\r\n|\r|\n') AS lines FROM t)),
+      k AS (SELECT origin, line_no, contains(line, ':') AS well_formed, lower(trim(regexp_extract(line, '^([^:]*):', 1))) AS key, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS value FROM l WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
+      a AS (SELECT *, coalesce(last_value(CASE WHEN key = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY origin ORDER BY line_no ROWS UNBOUNDED PRECEDING), '*') AS agent FROM k)
+      SELECT origin, line_no, CASE WHEN NOT well_formed THEN NULL WHEN key = 'disallow' AND value = '' THEN 'allow' ELSE key END AS key, CASE WHEN NOT well_formed THEN NULL WHEN key = 'disallow' AND value = '' THEN '/' ELSE value END AS value, well_formed
+      FROM a WHERE NOT well_formed OR key = 'sitemap' OR (key IN ('allow', 'disallow') AND agent = '*')""",
     "robots_allowed": """SELECT page_id, CASE WHEN contains(p, '/fr/5') THEN true WHEN contains(p, '/fr/') THEN false WHEN contains(p, '/') AND instr(substr(p, instr(p, '/') + 1), '9') + instr(p, '/') = length(p) AND instr(substr(p, instr(p, '/') + 1), '9') > 0 THEN false ELSE true END AS allowed
       FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""",
     "crawl_closure": """WITH RECURSIVE n AS (SELECT count(*) AS k FROM pages), r(page_id, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0
@@ -475,7 +528,8 @@ SQL = {
       t AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)^.*?</nav>'), '<[a-z][^>]*>') AS tags FROM c),
       x AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1)::INT - 1 AS node_pos FROM t)
       SELECT page_id, node_pos, replace(replace(replace(replace(replace(regexp_extract(tag, 'href="([^"]*)"', 1), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href FROM x WHERE tag LIKE '<a href="/%'""",
-    "fuzzy_suggest": "SELECT * FROM (VALUES %s) AS t(suggestion, insertions)" % ", ".join(f"('{n}', {len(n) - 3})" for n in FUZZY_CANDIDATES if re.search("a.*l.*t", n.lower())),
+    "fuzzy_suggest": f"""WITH {_E}, c AS (SELECT DISTINCT substr(url_attr, 2) AS suggestion FROM e)
+      SELECT suggestion, (length(suggestion) - {len(FUZZY_PATTERN)})::INT AS insertions FROM c WHERE regexp_matches(strip_accents(lower(suggestion)), '{".*".join(FUZZY_PATTERN)}')""",
     "preview_truncate": """SELECT page_id, CASE WHEN length(html) > 80 THEN substr(html, 1, 80) || '...' ELSE html END AS short,
       length(CASE WHEN length(html) < 300 THEN html WHEN contains(substr(html, 1, 301), ' ') THEN regexp_replace(substr(html, 1, 301), '(?s) [^ ]*$', '') ELSE '' END)::BIGINT AS n_cut FROM pages""",
 }
