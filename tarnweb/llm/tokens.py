@@ -29,7 +29,7 @@ LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
 RUNS = LETTERS + "|" + LETTERS.replace("[", "[^ \n")
 #: Pieces kept in a worker, about 170 bytes each. Beyond that the table goes on
 #: with the half used most.
-MAX_PIECES = 200_000
+MAX_PIECES = 400_000
 
 
 class _Index(dict):
@@ -105,8 +105,9 @@ class Pieces:
     def _runs(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces. A run of letters is one pre-token, whose last token
         is marked, so all runs of letters go through one call."""
-        together = [p for p in pieces if self.letters(p)]
-        alone = [p for p in pieces if not self.letters(p)]
+        together, alone = [], []
+        for p in pieces:
+            (together if self.letters(p) else alone).append(p)
         found = {}
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.uint32)
         last = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
