@@ -45,27 +45,46 @@ _KEY = "A-Za-z0-9+/_-"
 NAMED = r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
 SECRET = (
     rf"(?<![{_KEY}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_KEY}]{{20,}}+={{0,2}}"
-    rf"|(?<=[:=\x20\x22'])(?<=[:=]\x20{{0,2}}[\x22']?)(?<=(?i:{NAMED})[\x22']?\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?)[^\s\x22']{{8,}}"
+    rf"|(?<=[:=\x20\x22'])(?<=[:=]\x20{{0,2}}[\x22']?)(?<=(?i:{NAMED})[\x22']?\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?)[^\s\x22']{{7,}}[^\s\x22'.,;:)]"
+    rf"|(?<=\x20)(?<=is\x20)(?<=(?i:{NAMED})\x20is\x20)(?=[^\s\x22'0-9]*+[0-9])[^\s\x22']{{7,}}[^\s\x22'.,;:)]"
 )
 BASE = ("email", "ip", "card", "phone")
 WEAK = ("email_spelled", "phone_local", "card_like", "secret")
 #: The base kind whose labelers judge a weaker kind.
 LIKE = {"email_spelled": "email", "phone_local": "phone", "card_like": "card"}
-SURE = 0.9
+SURE = 0.8
 #: Matches folded in one go.
 CHUNK = 64
 
 # Fixed values of the gazetteer and the context labeler.
-TOP_LEVEL = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "ch", "at", "it", "nl", "us", "ca")
+#: Generic top-level domains; any two letters count as a country's.
+TOP_LEVEL = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "app", "dev", "cloud", "online", "site", "store", "tech", "blog", "shop")
+#: Card issuers by their first digits: Visa, Mastercard, American Express,
+#: Discover, JCB, Diners Club, UnionPay, Maestro.
+ISSUERS = (
+    r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|6011|64[4-9]|65|35(?:2[89]|[3-8])|30[0-5]|3[689]|62|5018|5020|5038|5893|6304|6759|676[1-3])"
+)
+#: Country calling codes.
+CALLING = (
+    r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+    r"|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[0179]|35[0-9]|37[0-8]|38[0-35-79]|42[013]|50[0-9]|59[0-9]|67[02-9]|68[0-35-9]|69[0-2]|800|808|85[02356]|870|878|88[0-36]|96[0-8]|97[0-79]|99[2-68])"
+)
+#: Area codes of no place, by which a national number is known.
+TOLL_FREE = r"^8(?:00|33|44|55|66|77|88)"
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|correo|courriel)\W{0,12}(?:\w+\W+){0,2}$",
     "ip": r"(?i)(?:\bip\b|host|server|address|adresse|login)\W{0,12}(?:\w+\W+){0,2}$",
     "card": r"(?i)(?:card|visa|credit|karte|carte|tarjeta)\W{0,12}(?:\w+\W+){0,2}$",
     "phone": r"(?i)(?:phone|\btel|call|fax|mobile|telefon|appel|llam)\W{0,12}(?:\w+\W+){0,2}$",
-    "secret": rf"(?i){NAMED}[\x22']?\s{{0,2}}[:=]\s{{0,2}}[\x22']?$",
+    "secret": rf"(?i){NAMED}(?:[\x22']?\s{{0,2}}[:=]|\sis\s)\s{{0,2}}[\x22']?$",
 }
-KEY_FORMS = r"^(?:(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$|AKIA[0-9A-Z]{16}|gh[pousr]_|sk[-_]|xox[abp]-|AIza|eyJ)"
-AGAINST = r"(?i)(?:version|isbn|order|invoice|serial|article|artikel|page|line|commit|sha-?[0-9]*|md5|checksum|uuid)\W{0,6}$"
+KEY_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_|sk[-_]|xox[abp]-|AIza|eyJ)"
+UUID = r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
+#: Words that stand where a secret would.
+PLACEHOLDERS = r"(?i)^(?:required|optional|password|username|undefined|encrypted|protected|incorrect|forgotten|disabled|authentication|authorization|necessary|mandatory|redacted|[*x.<].*)$"
+#: What digests look like; so do keys, and only their context tells.
+DIGEST = r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+AGAINST = r"(?i)(?:version|isbn|order|invoice|serial|article|artikel|page|line|commit|revision|sha-?[0-9]*|md5|checksum|digest|hash|etag|uuid|blob|tree)\W{0,6}$"
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
@@ -128,7 +147,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id and an array of (start, end, word, before) for each kind."""
     text = F.coalesce("text", F.lit(""))
     digit = text.rlike("[0-9]")
-    named = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(rf"(?i){NAMED}[\x22']?\x20{{0,2}}[:=]")
+    named = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")) | F.contains(text, F.lit(" is "))) & text.rlike(rf"(?i){NAMED}(?:[\x22']?\x20{{0,2}}[:=]|\x20is\x20)")
     with_text = docs.select("doc_id", text.alias("text"), digit.alias("digit"), named.alias("named"), F.contains(text, F.lit("@")).alias("at"), text.rlike(r"(?i)[\[(]\x20?at\x20?[\])]").alias("spelled"))
     possible = {
         "email": (EMAIL, F.col("at")),
@@ -159,17 +178,19 @@ def votes(kind: str, span: Column) -> Column:
         shape = F.when(_digits(word).rlike("^(.)\\1*$") | (n >= 16), -1).otherwise(F.when(F.call_function("luhn_check", _digits(word)), 1).otherwise(-1))
     if kind == "secret":
         changes = F.regexp_count(word, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"))
-        shape = F.when(changes >= 4, 1).when(changes >= 2, 0).otherwise(-1)
-        known = word.rlike(KEY_FORMS)
+        shape = F.when(word.rlike(DIGEST), 0).when(changes >= 4, 1).when(changes >= 1, 0).otherwise(-1)
+        gazetteer = F.when(word.rlike(KEY_FORMS), 1).when(word.rlike(UUID) | word.rlike(PLACEHOLDERS), -1).otherwise(0)
     elif base == "email":
-        known = F.lower(F.regexp_extract(word, r"([A-Za-z]+)[\])]?$", 1)).isin(*TOP_LEVEL)
+        ending = F.lower(F.regexp_extract(word, r"([A-Za-z]+)[\])]?$", 1))
+        gazetteer = F.when(ending.isin(*TOP_LEVEL) | (F.length(ending) == 2), 1).otherwise(-1)
     elif base == "card":
-        known = _digits(word).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)")
+        gazetteer = F.when(_digits(word).rlike(ISSUERS), 1).otherwise(-1)
     elif base == "ip":
-        known = ~word.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\.")
+        gazetteer = F.when(word.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\."), -1).otherwise(1)
+    elif kind == "phone":
+        gazetteer = F.when(_digits(word).rlike(CALLING), 1).otherwise(-1)
     else:
-        known = ~_digits(word).rlike("^(?:1?[01]|0)")
-    gazetteer = F.when(known, 1).otherwise(-1)
+        gazetteer = F.when(_digits(word).rlike(TOLL_FREE), 1).when(_digits(word).rlike("^[2-9](?:11|9)|^...(?:[01]|.11)"), -1).otherwise(0)
     context = F.when(span["before"].rlike(CUES[base]), 1).when(span["before"].rlike(AGAINST), -1).otherwise(0)
     return F.struct(
         shape.alias("shape"), gazetteer.alias("gazetteer"), context.alias("context"),
@@ -181,16 +202,32 @@ def votes(kind: str, span: Column) -> Column:
 VOTES, FORM = ("shape", "gazetteer", "context"), ("length", "digits", "left")
 
 
+#: Spans that the start of reliabilities stands for, a share of those seen.
+PRIOR = 1.0
+#: Where estimates of reliabilities start: P(vote) if the span is of its kind (1)
+#: or not (0), for base kinds and for weaker ones, labelers as in VOTES.
+START = {
+    "base": ({1: {1: 0.6, 0: 0.35, -1: 0.05}, 0: {1: 0.2, 0: 0.4, -1: 0.4}},) * 3,
+    "weak": (
+        {1: {1: 0.6, 0: 0.35, -1: 0.05}, 0: {1: 0.2, 0: 0.4, -1: 0.4}},
+        {1: {1: 0.4, 0: 0.58, -1: 0.02}, 0: {1: 0.05, 0: 0.55, -1: 0.4}},
+        {1: {1: 0.7, 0: 0.28, -1: 0.02}, 0: {1: 0.003, 0: 0.497, -1: 0.5}},
+    ),
+}
+
+
 def reliabilities(counts: Iterable[tuple[str, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict, dict]:
     """Expectation-maximisation over (kind, votes, count): the share of true
     spans of each kind and, for each labeler and truth, its vote probabilities.
-    Kinds with checks start from a high share; a beta prior keeps estimates off
-    0 and 1 and ties kinds with few spans to the start."""
+    Kinds with checks start from a high share. The start also stands for PRIOR
+    times the spans seen (20 at least) in every estimate, so votes keep their
+    sense, alike at every size: without that, two forms of the same thing can
+    pass for the true and the false spans."""
     counts = list(counts)
     kinds = sorted({k for k, _, _ in counts})
     share = {k: 0.9 if k in BASE else 0.5 for k in kinds}
-    start = {1: {1: 0.6, 0: 0.35, -1: 0.05}, 0: {1: 0.2, 0: 0.4, -1: 0.4}}
-    table = {(k, i, y): dict(start[y]) for k in kinds for i in range(len(VOTES)) for y in (0, 1)}
+    start = {k: START["base" if k in BASE else "weak"] for k in kinds}
+    table = {(k, i, y): dict(start[k][i][y]) for k in kinds for i in range(len(VOTES)) for y in (0, 1)}
 
     def posterior(k: str, v: tuple[int, ...]) -> float:
         p = [math.log(share[k] if y else 1 - share[k]) + sum(math.log(table[k, i, y][x]) for i, x in enumerate(v)) for y in (0, 1)]
@@ -202,11 +239,11 @@ def reliabilities(counts: Iterable[tuple[str, tuple[int, ...], int]], rounds: in
         for k in kinds:
             own = [(v, n, q) for kind, v, n, q in soft if kind == k]
             total = sum(n for _, n, _ in own)
-            prior = 0.9 if k in BASE else 0.5
+            prior, held = 0.9 if k in BASE else 0.5, PRIOR * max(total, 20)
             share[k] = (sum(n * q for _, n, q in own) + 10 * prior) / (total + 10)
             for i in range(len(VOTES)):
                 for y in (0, 1):
-                    weight = {x: 20 * start[y][x] + sum(n * (q if y else 1 - q) for v, n, q in own if v[i] == x) for x in (1, 0, -1)}
+                    weight = {x: held * start[k][i][y][x] + sum(n * (q if y else 1 - q) for v, n, q in own if v[i] == x) for x in (1, 0, -1)}
                     table[k, i, y] = {x: w / sum(weight.values()) for x, w in weight.items()}
     return share, {(k, v): posterior(k, v) for k, v, _ in counts}
 
@@ -214,16 +251,17 @@ def reliabilities(counts: Iterable[tuple[str, tuple[int, ...], int]], rounds: in
 def train(rows: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], posteriors: dict, rounds: int = 1500, rate: float = 0.8) -> dict:
     """Weights of a logistic model over (kind), (kind, vote) and (form) marks,
     fitted to the posteriors by gradient descent over the counts. Each kind
-    counts as much as any other, however many spans it has."""
-    total: dict[str, int] = {}
+    counts as much as any other, however many spans it has, and a pattern of
+    votes and form by the root of its number, so rare ones are learned too."""
+    total: dict[str, float] = {}
     for k, _, _, n in rows:
-        total[k] = total.get(k, 0) + n
+        total[k] = total.get(k, 0.0) + math.sqrt(n)
     marked = [marks(k, v, f) for k, v, f, _ in rows]
     number = {m: i for i, m in enumerate(sorted({x for own in marked for x in own}, key=str))}
     x = np.zeros((len(rows), len(number)))
     for i, own in enumerate(marked):
         x[i, [number[m] for m in own]] = 1
-    share = np.array([n / total[k] / len(total) for k, _, _, n in rows])
+    share = np.array([math.sqrt(n) / total[k] / len(total) for k, _, _, n in rows])
     target = np.array([posteriors[k, v] for k, v, _, _ in rows])
     w = np.zeros(len(number))
     for _ in range(rounds):
