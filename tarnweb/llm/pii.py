@@ -178,7 +178,7 @@ def votes(kind: str, span: Column) -> Column:
         shape = F.when(_digits(word).rlike("^(.)\\1*$") | (n >= 16), -1).otherwise(F.when(F.call_function("luhn_check", _digits(word)), 1).otherwise(-1))
     if kind == "secret":
         changes = F.regexp_count(word, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]"))
-        shape = F.when(word.rlike(DIGEST), 0).when(changes >= 4, 1).when(changes >= 1, 0).otherwise(-1)
+        shape = F.when(word.rlike(DIGEST), 0).when(changes >= 4, 1).when((changes >= 1) | word.rlike("^[A-Za-z]{12,}$"), 0).otherwise(-1)
         gazetteer = F.when(word.rlike(KEY_FORMS), 1).when(word.rlike(UUID) | word.rlike(PLACEHOLDERS), -1).otherwise(0)
     elif base == "email":
         ending = F.lower(F.regexp_extract(word, r"([A-Za-z]+)[\])]?$", 1))

@@ -65,7 +65,7 @@ def test_votes_against_python(spark):
         context = 1 if re.search(pii.CUES[base], b) else -1 if re.search(pii.AGAINST, b) else 0
         if kind == "secret":
             changes = len(re.findall("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]", w))
-            shape = 0 if re.search(pii.DIGEST, w) else 1 if changes >= 4 else 0 if changes >= 1 else -1
+            shape = 0 if re.search(pii.DIGEST, w) else 1 if changes >= 4 else 0 if changes >= 1 or re.search("^[A-Za-z]{12,}$", w) else -1
             return shape, 1 if re.search(pii.KEY_FORMS, w) else -1 if re.search(pii.UUID, w) or re.search(pii.PLACEHOLDERS, w) else 0, context
         same = base in ("card", "phone", "ip") and len(set(d)) == 1
         shape = -1 if same else int(kind in pii.BASE)
