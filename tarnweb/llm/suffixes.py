@@ -10,7 +10,7 @@ bytes long are shared. A key that stands twice in one run is shared already: its
 places leave the run at once, and one of them, marked, stands for it in the
 merge, so a key comes to a range at most once a run, however common it is.
 
-Shared anchors then tell exactly which strings occur again. The strings of an
+Shared anchors then tell which strings occur again. The strings of an
 anchor form cells by the anchor's offset in them. If all strings of a cell
 together (their union) occur elsewhere under the same offsets, the whole cell is
 repeated. If what all strings of the cell have in common (its core) stands under
@@ -25,8 +25,10 @@ them without moving texts.
 
 Defined cases: null text is empty; texts under WINDOW bytes lose nothing; rows
 with one doc_id are separate documents; an empty table gives an empty result;
-extra columns are ignored. Unions, cores and strings are compared by 64-bit
-hashes within groups of equal cores or equal strings.
+extra columns are ignored. Unions and strings are the same if a 64-bit hash and a
+check of 62 bits agree, two polynomials modulo a prime that have nothing in common
+with the hash: what the hash alone confuses, the check tells apart. Cores need the
+hash only, as cores that it confuses are compared string by string.
 """
 
 from __future__ import annotations
@@ -86,6 +88,43 @@ def span_hash(prefix: np.ndarray, start, end) -> np.ndarray:
     return h
 
 
+#: A prime and two bases of the check.
+PRIME, CHECK_BASES = (1 << 31) - 1, (1103515245, 48271)
+
+
+class _Residues:
+    """Powers of the check's bases and of their inverses."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, U) for _ in range(4)]
+
+    def need(self, n: int) -> list[np.ndarray]:
+        factors = [f for b in CHECK_BASES for f in (b, pow(b, -1, PRIME))]
+        while len(self.tables[0]) < n:
+            self.tables = [np.concatenate([t, t * U(pow(f, len(t), PRIME)) % U(PRIME)]) for t, f in zip(self.tables, factors)]
+        return self.tables
+
+
+_RESIDUES = _Residues()
+
+
+def prefix_checks(raw: np.ndarray) -> list[np.ndarray]:
+    tables, out = _RESIDUES.need(len(raw) + 1), []
+    for up in tables[::2]:
+        sums = np.zeros(len(raw) + 1, U)
+        np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)] % U(PRIME), out=sums[1:])
+        out.append(sums % U(PRIME))
+    return out
+
+
+def span_check(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits of the bytes from start to end."""
+    out = np.zeros(len(start), U)
+    for own, down in zip(prefix, _RESIDUES.tables[1::2]):
+        out = (out << U(31)) | ((own[end] + U(PRIME) - own[start]) % U(PRIME) * down[start] % U(PRIME))
+    return out.view(np.int64)
+
+
 def anchors_of(prefix: np.ndarray) -> np.ndarray:
     """Anchor of the string that starts at each place; never falling."""
     n = len(prefix) - 1
@@ -217,42 +256,57 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(digests, places)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of the strings whose anchor is shared: core, whole, first, last."""
-    for b in batches:
-        digests, parts = [], []
-        for digest, raw, places in zip(b.column("digest").to_pylist(), b.column("raw").to_pylist(), b.column("places").to_pylist()):
-            prefix = prefix_hashes(np.frombuffer(raw, np.uint8))
-            anchor, first, last = _segments(anchors_of(prefix))
-            pick = np.isin(anchor, np.array(places, np.int64))
-            anchor, first, last = anchor[pick], first[pick], last[pick]
-            for c in range(-(-(WINDOW - K + 1) // CELL)):
-                near, far = c * CELL, min(c * CELL + CELL - 1, WINDOW - K)
-                low, high = np.maximum(anchor - last, near), np.minimum(anchor - first, far)
-                some = low <= high
-                if not some.any():
-                    continue
-                p, low, high = anchor[some], low[some], high[some]
-                core = span_hash(prefix, p - near, p - far + WINDOW) + U(c)
-                whole = span_hash(prefix, p - high, p - low + WINDOW) + ((low << 9) | high).astype(U) * MIX
-                parts.append(np.stack([core.view(np.int64), whole.view(np.int64), p - high, p - low], 1))
-                digests += [digest] * len(p)
-        rows = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *[pa.array(rows[:, i]) for i in range(4)]], names=["digest", "core", "whole", "first", "last"])
+def _cells(bits: int):
+    """Cells of the strings whose anchor is shared: core, whole, check, first, last."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, parts = [], []
+            for digest, raw, places in zip(b.column("digest").to_pylist(), b.column("raw").to_pylist(), b.column("places").to_pylist()):
+                own = np.frombuffer(raw, np.uint8)
+                prefix, checks = prefix_hashes(own), prefix_checks(own)
+                anchor, first, last = _segments(anchors_of(prefix))
+                pick = np.isin(anchor, np.array(places, np.int64))
+                anchor, first, last = anchor[pick], first[pick], last[pick]
+                for c in range(-(-(WINDOW - K + 1) // CELL)):
+                    near, far = c * CELL, min(c * CELL + CELL - 1, WINDOW - K)
+                    low, high = np.maximum(anchor - last, near), np.minimum(anchor - first, far)
+                    some = low <= high
+                    if not some.any():
+                        continue
+                    p, low, high = anchor[some], low[some], high[some]
+                    core = span_hash(prefix, p - near, p - far + WINDOW) + U(c)
+                    whole = span_hash(prefix, p - high, p - low + WINDOW) + ((low << 9) | high).astype(U) * MIX
+                    check = span_check(checks, p - high, p - low + WINDOW) ^ (((low << 9) | high) << 20)
+                    parts.append(np.stack([_cut(core, bits), _cut(whole, bits), check, p - high, p - low], 1))
+                    digests += [digest] * len(p)
+            rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *[pa.array(rows[:, i]) for i in range(5)]], names=["digest", "core", "whole", "check", "first", "last"])
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and start of every string of the given cells."""
-    for b in batches:
-        digests, hashes, starts = [], [], []
-        for digest, raw, cells in zip(b.column("digest").to_pylist(), b.column("raw").to_pylist(), b.column("cells").to_pylist()):
-            prefix = prefix_hashes(np.frombuffer(raw, np.uint8))
-            at = np.concatenate([np.arange(c["first"], c["last"] + 1) for c in cells])
-            hashes.append(span_hash(prefix, at, at + WINDOW).view(np.int64))
-            starts.append(at)
-            digests += [digest] * len(at)
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(join(hashes)), pa.array(join(starts))], names=["digest", "hash", "first"])
+    return run
+
+
+def _cut(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & U((1 << bits) - 1)).view(np.int64)
+
+
+def _strings(bits: int):
+    """Hash, check and start of every string of the given cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, hashes, checks, starts = [], [], [], []
+            for digest, raw, cells in zip(b.column("digest").to_pylist(), b.column("raw").to_pylist(), b.column("cells").to_pylist()):
+                own = np.frombuffer(raw, np.uint8)
+                at = np.concatenate([np.arange(c["first"], c["last"] + 1) for c in cells])
+                hashes.append(_cut(span_hash(prefix_hashes(own), at, at + WINDOW), bits))
+                checks.append(span_check(prefix_checks(own), at, at + WINDOW))
+                starts.append(at)
+                digests += [digest] * len(at)
+            join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(join(hashes)), pa.array(join(checks)), pa.array(join(starts))], names=["digest", "hash", "check", "first"])
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +350,10 @@ def splitters_of(keys: list[bytes], n: int) -> list[bytes]:
     return keys if len(keys) < n else [keys[len(keys) * i // n] for i in range(1, n)]
 
 
-def repeated(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def repeated(docs: DataFrame, columns: list[str] | None = None, bits: int = 64) -> DataFrame:
     """digest, n_bytes, n_removed, n_spans, kept_sha256, kept (or the columns
-    asked for) of each distinct text of docs(text), from the shared folder."""
+    asked for) of each distinct text of docs(text), from the shared folder. bits:
+    how many of the hash count; fewer make work for the check, not other results."""
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
@@ -311,16 +366,16 @@ def repeated(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     runs = long.select("digest", "raw").mapInArrow(in_slices(_runs(splitters)), "range int, block binary, digest binary, places array<int>")
     merged = runs.repartitionById(n, F.col("range")).mapInArrow(in_slices(_shared), "digest binary, places array<int>")
     shared = merged.groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"))  # at most the anchors of a text
-    cells, at_cells = stash(texts.join(shared, "digest").select("digest", "raw", "places").mapInArrow(in_slices(_cells), "digest binary, core long, whole long, first long, last long"), spark, "cells")
+    cells, at_cells = stash(texts.join(shared, "digest").select("digest", "raw", "places").mapInArrow(in_slices(_cells(bits)), "digest binary, core long, whole long, check long, first long, last long"), spark, "cells")
     wholes, at_wholes = stash(
-        cells.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("digest", "first", "last")).alias("one")), spark, "wholes"
+        cells.groupBy("core", "whole", "check").agg(F.count("*").alias("n"), F.min(F.struct("digest", "first", "last")).alias("one")), spark, "wholes"
     )
     unsure = wholes.groupBy("core").agg(F.count("*").alias("wholes")).where("wholes > 1").select("core")
-    all_of = cells.join(wholes.where("n > 1").select("core", "whole"), ["core", "whole"]).select("digest", "first", "last")
+    all_of = cells.join(wholes.where("n > 1").select("core", "whole", "check"), ["core", "whole", "check"]).select("digest", "first", "last")
     compare = wholes.join(unsure, "core").select("one.*").groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("cells"))
-    strings, at_strings = stash(texts.join(compare, "digest").select("digest", "raw", "cells").mapInArrow(in_slices(_strings), "digest binary, hash long, first long"), spark, "strings")
-    twice = strings.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    some_of = strings.join(twice, "hash").select("digest", "first", F.col("first").alias("last"))
+    strings, at_strings = stash(texts.join(compare, "digest").select("digest", "raw", "cells").mapInArrow(in_slices(_strings(bits)), "digest binary, hash long, check long, first long"), spark, "strings")
+    twice = strings.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
+    some_of = strings.join(twice, ["hash", "check"]).select("digest", "first", F.col("first").alias("last"))
     spans = all_of.unionByName(some_of).groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # at most the strings of a text
     found = texts.join(spans, "digest", "left").select("digest", "copies", "raw", "spans").mapInArrow(
         in_slices(_kept), "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
