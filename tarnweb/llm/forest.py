@@ -365,7 +365,8 @@ def _row_id(doc_id: Column) -> list[Column]:
 def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """doc_id, key, class_id, set_id, n_links, first for each row of docs(doc_id,
     text). key: hash of the text; first: (doc_id, key) of the one row of the class
-    that stays where only one may, the least; null if no row has a doc_id."""
+    that stays where only one may: the least that has a doc_id, or if none has one
+    the least; null for rows without shingles."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -403,12 +404,15 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     verified, _ = stash(dealt.mapInArrow(_verify(threshold), "node binary, links long, root binary"), spark, "links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(star(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), spark)
-    leader = found.join(classes.select("set", "own_first"), F.col("node") == F.col("set")).select("node", "group", "own_first")
-    least_id = leader.groupBy("group").agg(F.min("own_first").alias("class_first"))
+    # Where no row of a class has a doc_id, the one of least text hash is first.
+    own = F.coalesce("own_first", F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("any_key").alias("key")))
+    classes = classes.withColumn("own_least", own)
+    leader = found.join(classes.select("set", "own_first", "own_least"), F.col("node") == F.col("set")).select("node", "group", "own_first", "own_least")
+    least_id = leader.groupBy("group").agg(F.coalesce(F.min("own_first"), F.min("own_least")).alias("class_first"))
     by_node = leader.join(least_id, "group").select(F.col("node").alias("set"), "class_first")
-    first = F.coalesce("class_first", "own_first")
+    first = F.coalesce("class_first", "own_least")
     result = (
-        classes.select("set", "set_id", "own_first", "weight")
+        classes.select("set", "set_id", "own_least", "weight")
         .join(links.withColumnRenamed("node", "set"), "set", "left")
         .join(by_node, "set", "left")
         .select("set", "set_id", first["doc_id"].alias("class_id"), first.alias("first"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
@@ -430,15 +434,17 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs with one row of each class, the one of least doc_id (of least text
-    hash among rows that share it); repeated rows are a class like any other, so
-    one of them stays. Documents without shingles or without doc_id stay."""
-    groups, _ = stash(_grouped(docs.select("doc_id", "text"), threshold, recall).where("first is not null and doc_id is not null"), docs.sparkSession, "one-of-each")
-    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    hash among rows that share it, and in classes without any doc_id); repeated
+    rows are a class like any other, so one of them stays. Rows of null doc_id
+    take part by their text hash: beside a row with a doc_id they go. Documents
+    without shingles stay."""
+    groups, _ = stash(_grouped(docs.select("doc_id", "text"), threshold, recall).where("first is not null"), docs.sparkSession, "one-of-each")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     gone = groups.where(~same).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct()
     again = groups.where(same).groupBy(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).count().where("count > 1").drop("count")
 
     def match(other: DataFrame):
-        return (rows["row.doc_id"].cast("long") == other["_gone"]) & (rows["text_key"] == other["_key"])
+        return rows["row.doc_id"].cast("long").eqNullSafe(other["_gone"]) & (rows["text_key"] == other["_key"])
 
     # The row travels as one struct, whatever its columns are called.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("text_key", F.xxhash64("row.text"))
