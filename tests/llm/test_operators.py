@@ -358,7 +358,7 @@ def test_one_of_each_shared_ids(spark):
     got = forest.one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()
     threes = [r for r in got if r["doc_id"] == 3]
     assert len(threes) == 1 and threes[0]["text"] in (c, c + " tail")
-    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got if r["doc_id"] != 3) == sorted([("1", a), ("2", b), ("4", "None"), ("4", "None"), ("None", a), ("5", "")])
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got if r["doc_id"] != 3) == sorted([("1", a), ("2", b), ("4", "None"), ("4", "None"), ("5", "")])
 
 
 def test_hot_group(spark):
