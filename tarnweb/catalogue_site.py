@@ -13,6 +13,7 @@ from .operators import audit, closure, index, labels
 from .operators.label_index import LabelIndex, build, n_matching
 from .plans.language import run_query
 from .plans.options import parse_flags
+from .sources import outputs
 from .storage import new_path, stored
 
 TEXTS = ("internal", "internal & anchor", "internal | http-httpsError", "!external", "link & (internal, !http-httpsError) and not anchor", "!(anchor | !internal) & link", "email")
@@ -67,8 +68,23 @@ def _start_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inverted_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = index.pieces(base._links(spark, sf_dir), "(link)", True, PIECE)
-    return found.select("key", F.col("piece").cast("bigint").alias("piece"), F.array_join("values", "\n").alias("vals"))
+    return _link_pieces(spark, sf_dir).select("key", F.col("piece").cast("bigint").alias("piece"), F.array_join("values", "\n").alias("vals"))
+
+
+def _link_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.pieces(base._links(spark, sf_dir), "(link)", True, PIECE)
+
+
+def _written_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the indented JSON that executors have written."""
+    path = new_path(spark, "json")
+    outputs.write_pretty(_link_pieces(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = outputs.previewed(_link_pieces(spark, sf_dir))
+    return spark.range(1).select(F.lit(text).alias("text"))
 
 
 def _crawl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +109,8 @@ QUERIES = {
     "select_not_link": _selected("userSelected & !link"),
     "start_page": _start_page,
     "inverted_pieces": _inverted_pieces,
+    "written_json": _written_json,
+    "preview_index": _previewed,
     "crawl_chain": _crawl_chain,
 }
 
@@ -102,6 +120,9 @@ _ALL = " UNION ALL "
 _D_LINKS = base._E.replace("FROM pages", "FROM d")
 #: Places of links that lie in a list of the navigation: its links come first.
 _NAV = r"""n AS (SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<a href="/')) AS in_nav FROM d)"""
+_LINES = f"""{base._E}, k AS (SELECT url_prop AS key, url, row_number() OVER (PARTITION BY url_prop ORDER BY page_id, node_pos) AS rn, count(*) OVER (PARTITION BY url_prop) AS n, first_value(page_id * 100000 + node_pos) OVER (PARTITION BY url_prop ORDER BY page_id, node_pos) AS f FROM e),
+  l AS (SELECT 0 AS f, 0 AS rn, '{{' AS line UNION ALL SELECT f + 1, 0, '  "' || key || '": [' FROM k WHERE rn = 1 UNION ALL SELECT f + 1, rn, '    "' || url || '"' || CASE WHEN rn < n THEN ',' ELSE '' END FROM k
+    UNION ALL SELECT f + 1, n + 1, '  ]' || CASE WHEN f < (SELECT max(f) FROM k) THEN ',' ELSE '' END FROM k WHERE rn = 1 UNION ALL SELECT (SELECT max(f) FROM k) + 2, 0, '}}')"""
 
 SQL = {
     "stored_queries": f"WITH {base._S} " + _ALL.join(f"SELECT '{t}' AS query, page_id, url AS url_attr FROM s WHERE {w}" for t, w in _WHERE.items()),
@@ -120,6 +141,9 @@ SQL = {
     "start_page": "SELECT -1::BIGINT AS page_id, 'start' AS kind, 'https://crawl.test/p/0' AS url_attr, true AS is_startpage UNION ALL SELECT page_id, 'link', '/p/0', false FROM pages WHERE page_id // 3 = 0",
     "inverted_pieces": f"""WITH {base._E}, x AS (SELECT url_prop AS key, url, page_id, node_pos, (row_number() OVER (PARTITION BY url_prop ORDER BY page_id, node_pos) - 1) // {PIECE} AS piece FROM e)
       SELECT key, piece::BIGINT AS piece, string_agg(url, chr(10) ORDER BY page_id, node_pos) AS vals FROM x GROUP BY key, piece""",
+    "written_json": f"WITH {_LINES} SELECT line FROM l",
+    "preview_index": f"""WITH {_LINES}, z AS (SELECT string_agg(line, chr(10) ORDER BY f, rn) AS text FROM l)
+      SELECT CASE WHEN length(text) <= 5000 THEN text ELSE regexp_replace(substr(text, 1, 5001), '(?s)\n[^\n]*$', '') || chr(10) || '...' END AS text FROM z""",
     "crawl_chain": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, page_id + 1 AS dst FROM pages WHERE page_id % 40 <> 39 UNION SELECT page_id, page_id + 37 FROM pages WHERE page_id % 25 = 3
         UNION SELECT page_id, page_id // 2 FROM pages WHERE page_id % 6 = 5),
       r(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id = 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node, n WHERE e.dst < n.n AND r.depth < n.n)
