@@ -34,9 +34,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pages(spark, sf_dir)
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E, located."""
-    return extract.located(extract.elements(_pages(spark, sf_dir), ("link",)))
+def _links(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
+    """E, located; content: with the outer HTML, which bare elements are called by."""
+    return extract.located(extract.elements(_pages(spark, sf_dir), ("link",), content))
 
 
 def _as_links(pages: DataFrame, site: SiteContext) -> DataFrame:
@@ -225,8 +225,8 @@ def _parity(spark, sf_dir):
 def _index(inverted: bool, text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = _pages(spark, sf_dir)
-        flagged = labels.classify(_links(spark, sf_dir), site_of(pages), OPTIONS)
-        found = run_query(labels.records(flagged, labels.roll_up(flagged)), text, labels.PLACES, labels.flag)
+        flagged = labels.classify(_links(spark, sf_dir, True), site_of(pages), OPTIONS)
+        found = run_query(labels.rolled(flagged), text, labels.PLACES, labels.flag)
         return index.index(found, text, inverted).select("key", F.array_join("values", "\n").alias("vals"), F.size("values").cast("bigint").alias("n"))
 
     return run
@@ -284,7 +284,7 @@ def _crawl(recursive: bool):
         pages = tables.parsed(_site_pages(spark, sf_dir), fetches)
         options = AuditOptions(recursive=recursive, disallow=("/p/40$",))
         rules = robots.rules(tables.robots(_values(spark, tables.ROBOTS, [("https://crawl.test", CRAWL_ROBOTS)])))
-        flagged = labels.classify(extract.located(extract.elements(pages, ("link",))), CRAWL_SITE, options)
+        flagged = labels.classify(extract.located(extract.elements(pages, ("link",), False)), CRAWL_SITE, options)
         reached = closures.crawl(flagged, rules, CRAWL_SITE, options, fetches)
         return reached.select("group_name", F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"), *_flag("visited", "robotsDisallowed", "notFound", "redirects", "unknownContentType"))
 
@@ -310,7 +310,7 @@ def _index_complex(spark, sf_dir):
     """Elements without a URL or with a foreign one, called by what they have:
     a bare link by its outer HTML."""
     flagged = labels.classify(extract.located(extract.elements(_site_pages(spark, sf_dir))), CRAWL_SITE, OPTIONS)
-    found = run_query(labels.records(flagged, labels.roll_up(flagged)), "null | iframe", labels.PLACES, labels.flag)
+    found = run_query(labels.rolled(flagged), "null | iframe", labels.PLACES, labels.flag)
     return index.index(found, "null | iframe").select("key", F.array_join("values", "\n").alias("vals"), F.size("values").cast("bigint").alias("n"))
 
 

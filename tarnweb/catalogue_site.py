@@ -48,7 +48,7 @@ def _stored_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of answers from bitmaps alone, over the links in pages."""
     flagged = labels.classify(base._links(spark, sf_dir), base.site_of(base._pages(spark, sf_dir)), base.OPTIONS)
-    found = stored_index(labels.records(flagged, labels.roll_up(flagged)))
+    found = stored_index(labels.rolled(flagged))
     return reduce(DataFrame.unionByName, [found.matching(t).agg(n_matching(F.col("hits")).alias("n")).select(F.lit(t).alias("query"), "n") for t in TEXTS])
 
 
@@ -72,7 +72,7 @@ def _inverted_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _link_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.pieces(base._links(spark, sf_dir), "(link)", True, PIECE)
+    return index.pieces(base._links(spark, sf_dir, True), "(link)", True, PIECE)
 
 
 def _written_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,5 +19,4 @@ def flagged(pages: DataFrame, site: SiteContext, options: AuditOptions = AuditOp
 def records(pages: DataFrame, site: SiteContext, options: AuditOptions = AuditOptions(), images: DataFrame | None = None, start: bool = True, *more: DataFrame) -> DataFrame:
     """Records with both levels of labels. more: tables of group_name and bits,
     such as fetch outcomes or what a crawl has reached."""
-    own = flagged(pages, site, options, images, start)
-    return labels.records(own, labels.roll_up(own, *more))
+    return labels.rolled(flagged(pages, site, options, images, start), *more)

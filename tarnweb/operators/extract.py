@@ -29,11 +29,20 @@ WITH_SRC = ("IMG", "IFRAME", "FRAME", "SCRIPT", "EMBED", "AUDIO", "VIDEO", "SOUR
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
+#: What follows the name in a start tag.
+REST_OF_TAG = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+
+
+def tag_pattern(tags: tuple[str, ...]) -> str:
+    """A start tag. Nothing beyond it is read, and no other tag starts in it."""
+    return rf"(?is)<(?:{'|'.join(tags)}){REST_OF_TAG}"
+
+
 def outer_pattern(tags: tuple[str, ...]) -> str:
     """Group 1 is an element from its start tag on, with as much of its content
     as is ever shown. Only the start tag is passed over, so elements inside
     others are found too."""
-    attrs = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+    attrs = REST_OF_TAG
     inside = {"a": r"</?a[\s/>]", "iframe": r"</iframe[\s/>]"}
     wholes = [rf"<{t}{attrs}" + (rf"(?:(?!{inside[t]}).){{0,{MARKUP_CHARS + 1}}}+(?:</{t}\s*>)?" if t in inside else "") for t in tags]
     return rf"(?is)(?=({'|'.join(wholes)}))<(?:{'|'.join(tags)}){attrs}"
@@ -51,16 +60,19 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(F.lower(tag).contains(name) & tag.rlike(pattern), plain)
 
 
-def elements(pages: DataFrame, kinds: tuple[str, ...] = ("image", "iframe", "link")) -> DataFrame:
+def elements(pages: DataFrame, kinds: tuple[str, ...] = ("image", "iframe", "link"), content: bool = True) -> DataFrame:
     """page_id, document, kind, node_pos (place among the page's elements of the
     kind), markup and the attributes of every element of the kinds asked for.
-    markup is the outer HTML, cut beyond what is shown of it."""
+    markup is the outer HTML, cut beyond what is shown of it; without content, for
+    results that do not show it, the start tag, which takes a simpler expression."""
     tags = tuple(TAGS[k] for k in kinds)
-    pages = pages.select("page_id", F.col("url").alias("document"), F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(outer_pattern(tags)), F.lit(1)).alias("_all"))
-    of_kind = lambda k: F.filter("_all", lambda m: m.rlike(rf"(?i)^<{TAGS[k]}[\s/>]"))
+    pattern, group = (outer_pattern(tags), 1) if content else (tag_pattern(tags), 0)
+    pages = pages.select("page_id", F.col("url").alias("document"), F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(pattern), F.lit(group)).alias("_all"))
+    of_kind = (lambda k: F.col("_all")) if len(kinds) == 1 else (lambda k: F.filter("_all", lambda m: m.rlike(rf"(?i)^<{TAGS[k]}[\s/>]")))
     numbered = lambda k: F.transform(of_kind(k), lambda m, i: F.struct(F.lit(k).alias("kind"), i.cast("int").alias("node_pos"), m.alias("markup")))
     out = pages.select("page_id", "document", F.inline(F.concat(*map(numbered, kinds))))
-    return out.select("page_id", "document", "kind", "node_pos", _closed(F.col("kind"), F.col("markup")).alias("markup"), *[attribute(F.col("markup"), a).alias(a) for a in ATTRIBUTES])
+    markup = _closed(F.col("kind"), F.col("markup")) if content else F.col("markup")
+    return out.select("page_id", "document", "kind", "node_pos", markup.alias("markup"), *[attribute(F.col("markup"), a).alias(a) for a in ATTRIBUTES])
 
 
 def _closed(kind: Column, markup: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..plans.options import AuditOptions, SiteContext
+from ..storage import stored
 
 ELEMENT_LABELS = ("link", "image", "iframe", "startPage", "bannedString", "absoluteInternal", "anchor", "improperSize", "noAltText", "emptyTitle", "userSelected")
 GROUP_LABELS = (
@@ -121,6 +122,17 @@ def records(flagged: DataFrame, groups: DataFrame) -> DataFrame:
     return both.withColumn("bits", F.col("bits").bitwiseOR(F.col("group_bits"))).drop("group_bits")
 
 
+#: What queries and indexes need of a record.
+KEPT = ("page_id", "document", "kind", "node_pos", "markup", "url_attr", "url_prop", "group_name", "selected", "tree_pos", "bits")
+
+
+def rolled(flagged: DataFrame, *more: DataFrame) -> DataFrame:
+    """Elements with both levels of labels. Pages are read and elements classified
+    once: the groups and the records both come from the table written here."""
+    own = stored(flagged.select(*[c for c in KEPT if c in flagged.columns]), "flagged")
+    return records(own, roll_up(own, *more))
+
+
 def label_names(bits: str = "bits") -> Column:
     """Array of the names of the labels set."""
     return F.array_compact(F.array(*[F.when(flag(n, bits), F.lit(n)) for n in PLACES]))
