@@ -1,8 +1,9 @@
 """CSS selectors over parsed pages, in Arrow batches.
 
-Supported: type, *, #id, .class, [a], [a=v], ^= $= *= ~= |=, compounds,
-:not(...), :nth-child, :first-child, :last-child, :only-child, descendant, child,
-both kinds of sibling, and comma. Anything else raises.
+Supported: type, *, #id, .class, [a], [a=v], ^= $= *= ~= |= (with the flags i and
+s), compounds, :not(...), :is(...), :where(...), :empty, :root, :nth-, :nth-last-,
+:first-, :last- and :only- with child or of-type, descendant, child, both kinds of
+sibling, and comma. Anything else raises.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from ..workers import ship
 SLICE = 256
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SIMPLE = re.compile(r"""\*|([A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^$*~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]|:([a-z-]+)(?:\(((?:[^()]|\([^()]*\))*)\))?""")
+SIMPLE = re.compile(r"""\*|([A-Za-z][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^$*~|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*([iIsS]\s*)?)?\]|:([a-z-]+)(?:\(((?:[^()]|\([^()]*\))*)\))?""")
 COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+#: Case of ASCII letters alone, as attribute flags fold it.
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 STEP = re.compile(r"([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+)")
 
 
@@ -107,11 +110,15 @@ def _nth(text: str) -> tuple[int, int]:
 
 
 def _pseudo(name: str, argument: str | None) -> tuple:
-    if name == "not" and argument:
-        return ("not", compile_selector(argument))
-    if name == "nth-child" and argument:
-        return ("nth", *_nth(argument))
-    if name in ("first-child", "last-child", "only-child") and argument is None:
+    if name in ("not", "is", "where") and argument:
+        return ("not" if name == "not" else "is", compile_selector(argument))
+    place, _, among = name.rpartition("-of-") if name.endswith("-of-type") else name.rpartition("-")
+    if among in ("child", "type"):
+        if place in ("nth", "nth-last") and argument:
+            return ("nth", among == "type", place == "nth-last", *_nth(argument))
+        if place in ("first", "last", "only") and argument is None:
+            return (place, among == "type")
+    if name in ("empty", "root") and argument is None:
         return (name,)
     raise ValueError(f"unsupported selector: :{name}")
 
@@ -126,9 +133,10 @@ def compile_selector(text: str) -> list[list[tuple[str, list[tuple]]]]:
         while at < len(part):
             tests = []
             while at < len(part) and (m := SIMPLE.match(part, at)):
-                tag, ident, cls, name, op, *values, pseudo, argument = m.groups()
+                tag, ident, cls, name, op, *values, case, pseudo, argument = m.groups()
                 value = next((v for v in values if v is not None), None)
-                tests.append(("tag", tag.lower()) if tag else ("attr", "id", "=", ident) if ident else ("class", cls) if cls else ("attr", name.lower(), op, value) if name else _pseudo(pseudo, argument) if pseudo else ("any",))
+                folded = (case or "").strip() in ("i", "I")
+                tests.append(("tag", tag.lower()) if tag else ("attr", "id", "=", ident, False) if ident else ("class", cls) if cls else ("attr", name.lower(), op, value, folded) if name else _pseudo(pseudo, argument) if pseudo else ("any",))
                 at = m.end()
             if not tests:
                 raise ValueError(f"unsupported selector: {text!r}")
@@ -142,6 +150,15 @@ def compile_selector(text: str) -> list[list[tuple[str, list[tuple]]]]:
     return out
 
 
+def _around(node: Node, typed: bool) -> tuple[int, int]:
+    """How many siblings stand before and after; typed: of the same tag."""
+    if not typed:
+        return node.place, len(node.parent.children) - 1 - node.place
+    same = [n.place for n in node.parent.children if n.tag == node.tag]
+    at = same.index(node.place)
+    return at, len(same) - 1 - at
+
+
 def _passes(node: Node, tests: list[tuple]) -> bool:
     for kind, *rest in tests:
         if kind == "tag" and node.tag != rest[0]:
@@ -149,8 +166,10 @@ def _passes(node: Node, tests: list[tuple]) -> bool:
         if kind == "class" and rest[0] not in node.attrs.get("class", "").split():
             return False
         if kind == "attr":
-            name, op, value = rest
+            name, op, value, folded = rest
             have = node.attrs.get(name)
+            if folded and have is not None and value is not None:
+                have, value = have.translate(LOWER), value.translate(LOWER)
             if have is None or (op == "=" and have != value):
                 return False
             if op == "~=" and (not value or value not in have.split()):
@@ -161,15 +180,22 @@ def _passes(node: Node, tests: list[tuple]) -> bool:
                 return False
         if kind == "not" and any(selects(c, node) for c in rest[0]):
             return False
+        if kind == "is" and not any(selects(c, node) for c in rest[0]):
+            return False
+        if kind == "empty" and any(node.content):
+            return False
+        if kind == "root" and (node.parent.tag or node.place != 0):
+            return False
         if kind == "nth":
-            a, b = rest
-            far = node.place + 1 - b
+            typed, last, a, b = rest
+            before, after = _around(node, typed)
+            far = (after if last else before) + 1 - b
             if (far != 0) if a == 0 else (far % a != 0 or far // a < 0):
                 return False
-        if kind in ("first-child", "only-child") and node.place != 0:
-            return False
-        if kind in ("last-child", "only-child") and node.place != len(node.parent.children) - 1:
-            return False
+        if kind in ("first", "last", "only"):
+            before, after = _around(node, rest[0])
+            if (kind != "last" and before) or (kind != "first" and after):
+                return False
     return True
 
 
