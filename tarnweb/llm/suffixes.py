@@ -26,9 +26,9 @@ them without moving texts.
 Defined cases: null text is empty; texts under WINDOW bytes lose nothing; rows
 with one doc_id are separate documents; an empty table gives an empty result;
 extra columns are ignored. Unions and strings are the same if a 64-bit hash and a
-check of 62 bits agree, two polynomials modulo a prime that have nothing in common
-with the hash: what the hash alone confuses, the check tells apart. Cores need the
-hash only, as cores that it confuses are compared string by string.
+check of 31 bits agree, a polynomial modulo a prime that has nothing in common with
+the hash: what the hash alone confuses, the check tells apart. Cores need the hash
+only, as cores that it confuses are compared string by string.
 """
 
 from __future__ import annotations
@@ -88,41 +88,36 @@ def span_hash(prefix: np.ndarray, start, end) -> np.ndarray:
     return h
 
 
-#: A prime and two bases of the check.
-PRIME, CHECK_BASES = (1 << 31) - 1, (1103515245, 48271)
+#: The prime and the base of the check.
+PRIME, CHECK_BASE = (1 << 31) - 1, 1103515245
 
 
 class _Residues:
-    """Powers of the check's bases and of their inverses."""
+    """Powers of the check's base and of its inverse."""
 
     def __init__(self):
-        self.tables = [np.ones(1, U) for _ in range(4)]
+        self.up = self.down = np.ones(1, U)
 
-    def need(self, n: int) -> list[np.ndarray]:
-        factors = [f for b in CHECK_BASES for f in (b, pow(b, -1, PRIME))]
-        while len(self.tables[0]) < n:
-            self.tables = [np.concatenate([t, t * U(pow(f, len(t), PRIME)) % U(PRIME)]) for t, f in zip(self.tables, factors)]
-        return self.tables
+    def need(self, n: int) -> None:
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up = np.concatenate([self.up, self.up * U(pow(CHECK_BASE, size, PRIME)) % U(PRIME)])
+            self.down = np.concatenate([self.down, self.down * U(pow(CHECK_BASE, -size, PRIME)) % U(PRIME)])
 
 
 _RESIDUES = _Residues()
 
 
-def prefix_checks(raw: np.ndarray) -> list[np.ndarray]:
-    tables, out = _RESIDUES.need(len(raw) + 1), []
-    for up in tables[::2]:
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)] % U(PRIME), out=sums[1:])
-        out.append(sums % U(PRIME))
-    return out
+def prefix_checks(raw: np.ndarray) -> np.ndarray:
+    _RESIDUES.need(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, U)
+    np.cumsum((raw.astype(U) + U(1)) * _RESIDUES.up[: len(raw)] % U(PRIME), out=sums[1:])
+    return sums % U(PRIME)
 
 
-def span_check(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """62 bits of the bytes from start to end."""
-    out = np.zeros(len(start), U)
-    for own, down in zip(prefix, _RESIDUES.tables[1::2]):
-        out = (out << U(31)) | ((own[end] + U(PRIME) - own[start]) % U(PRIME) * down[start] % U(PRIME))
-    return out.view(np.int64)
+def span_check(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """31 bits of the bytes from start to end."""
+    return ((prefix[end] + U(PRIME) - prefix[start]) % U(PRIME) * _RESIDUES.down[start] % U(PRIME)).astype(np.int32)
 
 
 def anchors_of(prefix: np.ndarray) -> np.ndarray:
@@ -277,11 +272,11 @@ def _cells(bits: int):
                     p, low, high = anchor[some], low[some], high[some]
                     core = span_hash(prefix, p - near, p - far + WINDOW) + U(c)
                     whole = span_hash(prefix, p - high, p - low + WINDOW) + ((low << 9) | high).astype(U) * MIX
-                    check = span_check(checks, p - high, p - low + WINDOW) ^ (((low << 9) | high) << 20)
+                    check = span_check(checks, p - high, p - low + WINDOW) ^ (((low << 9) | high) << 12)
                     parts.append(np.stack([_cut(core, bits), _cut(whole, bits), check, p - high, p - low], 1))
                     digests += [digest] * len(p)
             rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *[pa.array(rows[:, i]) for i in range(5)]], names=["digest", "core", "whole", "check", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *[pa.array(rows[:, i].astype(np.int32) if i == 2 else rows[:, i]) for i in range(5)]], names=["digest", "core", "whole", "check", "first", "last"])
 
     return run
 
@@ -304,7 +299,7 @@ def _strings(bits: int):
                 starts.append(at)
                 digests += [digest] * len(at)
             join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(join(hashes)), pa.array(join(checks)), pa.array(join(starts))], names=["digest", "hash", "check", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(join(hashes)), pa.array(join(checks).astype(np.int32)), pa.array(join(starts))], names=["digest", "hash", "check", "first"])
 
     return run
 
@@ -366,14 +361,14 @@ def repeated(docs: DataFrame, columns: list[str] | None = None, bits: int = 64)
     runs = long.select("digest", "raw").mapInArrow(in_slices(_runs(splitters)), "range int, block binary, digest binary, places array<int>")
     merged = runs.repartitionById(n, F.col("range")).mapInArrow(in_slices(_shared), "digest binary, places array<int>")
     shared = merged.groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"))  # at most the anchors of a text
-    cells, at_cells = stash(texts.join(shared, "digest").select("digest", "raw", "places").mapInArrow(in_slices(_cells(bits)), "digest binary, core long, whole long, check long, first long, last long"), spark, "cells")
+    cells, at_cells = stash(texts.join(shared, "digest").select("digest", "raw", "places").mapInArrow(in_slices(_cells(bits)), "digest binary, core long, whole long, check int, first long, last long"), spark, "cells")
     wholes, at_wholes = stash(
         cells.groupBy("core", "whole", "check").agg(F.count("*").alias("n"), F.min(F.struct("digest", "first", "last")).alias("one")), spark, "wholes"
     )
     unsure = wholes.groupBy("core").agg(F.count("*").alias("wholes")).where("wholes > 1").select("core")
     all_of = cells.join(wholes.where("n > 1").select("core", "whole", "check"), ["core", "whole", "check"]).select("digest", "first", "last")
     compare = wholes.join(unsure, "core").select("one.*").groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("cells"))
-    strings, at_strings = stash(texts.join(compare, "digest").select("digest", "raw", "cells").mapInArrow(in_slices(_strings(bits)), "digest binary, hash long, check long, first long"), spark, "strings")
+    strings, at_strings = stash(texts.join(compare, "digest").select("digest", "raw", "cells").mapInArrow(in_slices(_strings(bits)), "digest binary, hash long, check int, first long"), spark, "strings")
     twice = strings.groupBy("hash", "check").agg(F.count("*").alias("n")).where("n > 1").select("hash", "check")
     some_of = strings.join(twice, ["hash", "check"]).select("digest", "first", F.col("first").alias("last"))
     spans = all_of.unionByName(some_of).groupBy("digest").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # at most the strings of a text
